@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from marlstone.llm import license_oracle
+
 SQL: dict[str, str] = {}
 
 SQL["op9_quality_rules"] = r"""
@@ -25,3 +27,42 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or (n_letters >= 50 and 100 * n_upper > 60 * n_letters) or (n_words >= 20 and 100 * n_exclaim > 40 * n_words)) as kept
 from b
 """
+
+SQL["op1_source_mix"] = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+  md5('mix:' || coalesce(doc_id::varchar, 'null')) as h from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as i from d group by source),
+w as (select *, [5, 2, 1][((i - 1) % 3 + 1)::int]::bigint as w, 3 * source_size as cap from s),
+o as (select *, sum(source_size) over () as total, sum(w) over () as all_w,
+  coalesce(sum(cap) over (order by cap / w, i rows between unbounded preceding and 1 preceding), 0) as cap_b,
+  coalesce(sum(w) over (order by cap / w, i rows between unbounded preceding and 1 preceding), 0) as w_b from w),
+c as (select *, (total - cap_b) * w > cap * (all_w - w_b) as capped from o),
+t as (select source, source_size, case when capped then cap::double
+  else ((total - coalesce(sum(case when capped then cap end) over (), 0)) * w)::double / (sum(case when not capped then w end) over ())::double end as target from c),
+p as (select doc_id, size, source_size::bigint as source_size, target, floor(target)::bigint as quota,
+  coalesce(sum(size) over (partition by d.source order by h, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as pos
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+  (greatest(0, least(pos + size, quota) - pos) + greatest(0, least(source_size + pos + size, quota) - source_size - pos)
+  + greatest(0, least(2 * source_size + pos + size, quota) - 2 * source_size - pos))::bigint as taken from p
+"""
+
+SQL["op4_secret_scan"] = r"""
+with t as (select doc_id, row_number() over () as rid, coalesce(text, '') as text from documents),
+kinds(k, kind, pat) as (values (0, 'assign', '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  (1, 'access', 'AKIA[A-Z0-9]{16,}'), (2, 'hex', '[0-9a-f]{24,}'), (3, 'key', '[A-Za-z0-9+/]{40,}=*'), (4, 'endpoint', 'https?://[A-Za-z0-9.-]+(?::[0-9]+)?')),
+m as (select rid, k, kind, regexp_extract_all(text, pat) as ms, string_split_regex(text, pat) as gaps from t, kinds where regexp_matches(text, pat)),
+u as (select rid, k, kind, unnest(ms) as m, unnest(list_slice(gaps, 1, len(ms))) as gap, unnest(generate_series(1, len(ms))) as i from m),
+pos as (select *, (sum(length(gap) + length(m)) over (partition by rid, k order by i rows unbounded preceding))::int as stop from u),
+ok as (select rid, k, kind, stop - length(m) as start, stop from pos where case k
+  when 0 then length(regexp_extract(m, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 6
+  when 3 then length(m) = 40 and regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]') and not suffix(m, '=') else true end),
+f as (select * from ok a where k < 3 or (exists (select 1 from ok b where b.rid = a.rid and b.k = 1 and b.stop >= a.start - 500 and b.start <= a.stop + 500)
+  and (k = 3 or exists (select 1 from ok b where b.rid = a.rid and b.k in (0, 2, 3) and b.stop >= a.start - 500 and b.start <= a.stop + 500))))
+select t.doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, k, stop) filter (k < 3), '')) as base_sha256,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, k, stop), '') as spans
+from t left join f using (rid) group by t.rid, t.doc_id
+"""
+
+SQL["op5_license_scan"] = license_oracle.sql()

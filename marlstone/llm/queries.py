@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, quality_rules
+from marlstone.llm import bpe, licenses, mixing, quality_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents, sources weighing 5, 2, 1, repeating."""
+    return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document by the multilingual rank file, then decode its ids."""
     import public_tokenizers
@@ -19,6 +24,16 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts of every document."""
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates of every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of every document, judged by the full policy."""
     rows = quality_rules.ledger(_table(spark, sf_dir, "documents"))
@@ -30,6 +45,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mix": op1_source_mix,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_license_scan": op5_license_scan,
     "op9_quality_rules": op9_quality_rules,
 }
