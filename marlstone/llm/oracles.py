@@ -66,3 +66,17 @@ from t left join f using (rid) group by t.rid, t.doc_id
 """
 
 SQL["op5_license_scan"] = license_oracle.sql()
+
+SQL["op8_ngram_jaccard"] = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as materialized (select distinct doc_id, array_to_string(list_slice(words, i, i + 4), ' ') as g
+  from (select doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) as i from w where len(words) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+common as (select g from s group by g having count(*) > 1),
+c as materialized (select doc_id, g from s join common using (g)),
+l as materialized (select a.doc_id as a, b.doc_id as b from c a join c b using (g) join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+r as (select doc_id as node, doc_id as id from n union select l.b as node, r.id from r join l on l.a = r.node)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(m.c, d.doc_id)::bigint as component_id
+from documents d left join n using (doc_id) left join (select node, min(id) as c from r group by node) m on m.node = d.doc_id
+"""
