@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, jaccard, licenses, mixing, quality_rules, secrets
+from marlstone.llm import bpe, jaccard, licenses, mixing, neighbours, quality_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found, by inner product, of every vector whose id is divisible by 20."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle-set sizes and near-duplicate components of all documents."""
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
@@ -54,6 +59,7 @@ QUERIES = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_secret_scan": op4_secret_scan,
     "op5_license_scan": op5_license_scan,
+    "op6_nearest_vectors": op6_nearest_vectors,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
 }
