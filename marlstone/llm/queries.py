@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, jaccard, licenses, mixing, neighbours, quality_rules, secrets
+from marlstone.llm import bpe, chat, cotraining, jaccard, licenses, mixing, neighbours, packing, quality_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as byte ids, packed into rows of 8192."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document by the multilingual rank file, then decode its ids."""
     import public_tokenizers
@@ -39,6 +44,12 @@ def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of all conversations, parsed by the line model and rendered canonically."""
+    written = chat.transcripts(_table(spark, sf_dir, "conversations"))
+    return chat.format_transcripts(written, chat.fit(written))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle-set sizes and near-duplicate components of all documents."""
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
@@ -54,12 +65,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained scores of all documents."""
+    return cotraining.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_packed_rows": op2_packed_rows,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_secret_scan": op4_secret_scan,
     "op5_license_scan": op5_license_scan,
     "op6_nearest_vectors": op6_nearest_vectors,
+    "op7_chat_format": op7_chat_format,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
