@@ -1,5 +1,61 @@
-"""placeholder"""
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus pipeline of five stages, each one operator of ``marlstone.llm`` over all that the stage before kept.
+
+Every stage is written as Parquet and read again as the next one's documents, so a lost executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm import bpe, cotraining, jaccard, mixing, secrets
+from marlstone.plans.storage import cut
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    return cotraining.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that of the smallest doc_id. Documents without a doc_id stay."""
+    groups = jaccard.jaccard_components(docs)
+    stay = groups.filter("component_id = doc_id").select(F.col("doc_id").alias("_stays")).distinct()
+    fp = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = docs.join(stay, docs["doc_id"] == stay["_stays"], "left").filter("_stays is not null or doc_id is null")
+    return own.withColumn("_fp", fp).dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced by marks."""
+    return secrets.redacted(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document of the mix, as digests, with what they decode to."""
+    import public_tokenizers
+
+    return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", source_mix),
+    ("byte-level BPE encoding and decoding", bpe_encoding),
+]
+ORACLE_SQL = None  #: SQL cannot express the classifier; tests/llm holds the stages against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)
