@@ -1 +1 @@
-
+"""Scalar functions on text, code and names."""

@@ -1 +1 @@
-
+"""Relational operators: pairing, graphs, deduplication, alignment, scoring, records."""
