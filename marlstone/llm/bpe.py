@@ -23,6 +23,7 @@ import heapq
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -50,85 +51,127 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.vocab = {i: b for b, i in ranks.items()}
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def _rank(self, a: int, b: int) -> int:
-        """Rank of the token that a and b merge into, or -1."""
-        r = self.pairs.get((a, b))
-        if r is None:
-            r = self.ranks.get(self.vocab[a] + self.vocab[b], -1)
-            if len(self.pairs) < 500_000:
-                self.pairs[a, b] = r
-        return r
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for token, r in ranks.items():
+            for k in range(1, len(token)):
+                a = ranks.get(token[:k])
+                if a is not None and (c := ranks.get(token[k:])) is not None:
+                    pairs[a << 32 | c] = r
+        #: All mergeable pairs, as sorted keys with the rank of what they merge into.
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.pairs = pairs
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair merges into, or -1."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], -1)
 
     def replay(self, words: Iterable[bytes]) -> list[list[int]]:
         words = list(words)
-        symbols: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        whole: list[int | None] = []
-        index: dict[int, list[int]] = {}  # rank of the merged pair -> heap of the positions of its left symbol
-        for w in words:
-            known = self.ranks.get(w)
-            whole.append(known)
-            starts.append(len(symbols))
-            if known is not None:
-                continue
-            base = len(symbols)
-            symbols.extend(map(self.byte_ids.__getitem__, w))
-            n = len(w)
-            after.extend(range(base + 1, base + n))
-            after.append(-1)
-            before.append(-1)
-            before.extend(range(base, base + n - 1))
-            for p in range(base, base + n - 1):
-                r = self._rank(symbols[p], symbols[p + 1])
-                if r >= 0:
-                    if r in index:
-                        index[r].append(p)
-                    else:
-                        index[r] = [p]
+        out: list[list[int] | None] = [[r] if (r := self.ranks.get(w)) is not None else None if w else [] for w in words]
+        todo = [i for i, ids in enumerate(out) if ids is None]
+        if todo:
+            for i, ids in zip(todo, self._replay_block([words[i] for i in todo]), strict=True):
+                out[i] = ids
+        return out
+
+    def _replay_block(self, words: list[bytes]) -> list[list[int]]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        symbol = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        n = len(symbol)
+        ends = np.cumsum(lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends - lengths] = -1
+        word = np.repeat(np.arange(len(words)), lengths)
+        rank = np.full(n, -1, np.int64)  # of the pair that starts at each place; -1: none
+        inner = np.flatnonzero(after >= 0)
+        rank[inner] = self._ranks_of(symbol[inner], symbol[inner + 1])
+        # The inverted index: places of each rank's pairs. Merges add to ``late``.
+        places = np.flatnonzero(rank >= 0)
+        places = places[np.argsort(rank[places], kind="stable")]
+        cuts = np.flatnonzero(np.append(True, np.diff(rank[places]) != 0)) if len(places) else places
+        index = dict(zip(rank[places[cuts]].tolist(), np.split(places, cuts[1:]), strict=True)) if len(places) else {}
+        late: dict[int, list[int]] = {}
         order = list(index)
         heapq.heapify(order)
+        again: set[int] = set()
         while order:
-            r = order[0]
-            places = index.get(r)
-            if not places:
-                heapq.heappop(order)
-                index.pop(r, None)
+            r = heapq.heappop(order)
+            at = index.pop(r, None)
+            if r in late:
+                new = np.array(late.pop(r), np.int64)
+                at = np.unique(new if at is None else np.concatenate([at, new]))
+            at = at[rank[at] == r]
+            if not len(at):
                 continue
-            p = heapq.heappop(places)
-            q = after[p]
-            if symbols[p] < 0 or q < 0 or self._rank(symbols[p], symbols[q]) != r:
-                continue  # a neighbour has been merged away meanwhile
-            symbols[p], symbols[q] = r, -1
-            nxt = after[p] = after[q]
-            prev = before[p]
-            if nxt >= 0:
-                before[nxt] = p
-            for left, right in ((prev, p), (p, nxt)):
-                if left >= 0 and right >= 0:
-                    new = self._rank(symbols[left], symbols[right])
-                    if new >= 0:
-                        if new in index:
-                            heapq.heappush(index[new], left)
-                        else:
-                            index[new] = [left]
-                            heapq.heappush(order, new)
-        out = []
-        for w, known, s in zip(words, whole, starts, strict=True):
-            if known is not None:
-                out.append([known])
+            to = after[at]
+            if (to[:-1] == at[1:]).any():
+                # Overlapping pairs: the leftmost of a run goes first.
+                taken, last = [], -1
+                for p, q in zip(at.tolist(), to.tolist(), strict=True):
+                    if p != last:
+                        taken.append(p)
+                        last = q
+                at = np.array(taken, np.int64)
+                to = after[at]
+            symbol[at] = r
+            symbol[to] = -1
+            rank[to] = -1
+            rank[at] = -1
+            beyond = after[to]
+            after[at] = beyond
+            right = beyond >= 0
+            before[beyond[right]] = at[right]
+            prior = before[at]
+            left = prior >= 0
+            start = np.concatenate([prior[left], at[right]])
+            if not len(start):
                 continue
-            ids, p = [], s if w else -1
-            while p >= 0:
-                ids.append(symbols[p])
-                p = after[p]
-            out.append(ids)
+            new = self._ranks_of(symbol[start], symbol[after[start]])
+            rank[start] = new
+            good = new >= 0
+            for p, x in zip(start[good].tolist(), new[good].tolist(), strict=True):
+                if x <= r:
+                    again.add(int(word[p]))  # merged out of order; such a word is done alone
+                elif x in late:
+                    late[x].append(p)
+                else:
+                    late[x] = [p]
+                    if x not in index:
+                        heapq.heappush(order, x)
+        alive = np.flatnonzero(symbol >= 0)
+        ids = symbol[alive].tolist()
+        stops = np.cumsum(np.bincount(word[alive], minlength=len(words))).tolist()
+        out = [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        for w in again:
+            out[w] = self._replay_word(words[w])
         return out
 
+    def _replay_word(self, word: bytes) -> list[int]:
+        """One word, pair by pair in order of rank and place, for tables where a merge can make a pair of lower rank."""
+        symbol = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n = len(symbol)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        queue = [(r, p) for p in range(n - 1) if (r := self.pairs.get(symbol[p] << 32 | symbol[p + 1], -1)) >= 0]
+        heapq.heapify(queue)
+        while queue:
+            r, p = heapq.heappop(queue)
+            q = after[p]
+            if symbol[p] < 0 or q < 0 or self.pairs.get(symbol[p] << 32 | symbol[q], -1) != r:
+                continue
+            symbol[p], symbol[q] = r, -1
+            after[p] = after[q]
+            if after[p] >= 0:
+                before[after[p]] = p
+            for x, y in ((before[p], p), (p, after[p])):
+                if x >= 0 and y >= 0 and (new := self.pairs.get(symbol[x] << 32 | symbol[y], -1)) >= 0:
+                    heapq.heappush(queue, (new, x))
+        return [x for x in symbol if x >= 0]
+
 
 class WordCache:
     """Rendered ids of words, filled block by block; ``render`` turns a word's ids into what callers join."""
