@@ -62,12 +62,11 @@ def _cells(vectors: DataFrame, n: int) -> DataFrame:
     known = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
-        p = known.value
-        p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-30)
-        ranks = min(2, len(p))
         for b in batches:
             if not len(b):
                 continue
+            p = known.value / np.maximum(np.linalg.norm(known.value, axis=1, keepdims=True), 1e-30)
+            ranks = min(2, len(p))
             x = _matrix(b.column(1)).astype(np.float32)
             near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :ranks]
             take = np.repeat(np.arange(len(x)), ranks)
