@@ -1,17 +1,19 @@
 """Exact Jaccard join of documents on word shingles, with signature trees.
 
-1. Shingles. Each text becomes the set of 64-bit hashes of its word shingles. A first pass finds shingles that stand in
+1. Shingles. Each text becomes the set of 64-bit ids of its word shingles. A first pass finds shingles that stand in
    many documents of some task (``HEAVY`` of them are kept; they only set an order, so no result depends on them).
-2. Prefix filter. In the order (heavy last, then by hash) two sets with Jaccard >= t share one of the first
+2. Prefix filter. In the order (heavy last, then by id, which puts shingles of long words first) two sets with Jaccard >= t share one of the first
    n - ceil(t n) + 1 elements of each. Documents are dealt out by those elements; equal sets count once per task.
 3. Groups. The members of an element's list are put into the group of the list's smallest class; every linking pair
    meets in such a group. Groups over ``GROUP`` members are cut into parts that meet pairwise, so no task holds more
    than two parts.
-4. Signature trees. A group's members, ordered by their smallest shingles, are the leaves of a tree whose nodes hold
-   OR-combined bitmaps, size ranges and the largest number of shingles that share bits. A dual traversal of the tree
-   with itself skips node pairs whose sizes are too far apart, whose largest possible overlap is too small, or that
-   are joined already; what is left at the leaves is intersected exactly. Only links that join components are returned.
-5. Components of these links, and of classes of equal sets, give every document its smallest reachable doc_id.
+4. Signature trees. A group's members, ordered by size band and first shingle, are the leaves of a tree whose nodes
+   hold OR-combined bitmaps, size ranges and the largest number of shingles that share bits. A dual traversal of the
+   tree with itself skips node pairs whose sizes are too far apart or whose largest possible overlap is too small.
+   Members that still may link form candidate sets; a set found in several groups is kept once. Only bitmaps move here.
+5. Verification. The texts of a candidate set come together; the same traversal, now with exact intersections at the
+   leaves, returns links that join components and skips what is joined already.
+6. Components of these links, and of classes of equal sets, give every document its smallest reachable doc_id.
 
 * null, empty or word-less text: empty set, linked with nothing; fewer words than a shingle: the sequence is the one
   shingle; very long text: one sorted array of hashes, in the task that holds its row anyway;
@@ -19,13 +21,15 @@
   rows that share a doc_id are told apart by their sets; a null doc_id is treated as the smallest possible id;
 * empty table: empty result; extra columns: only id and text are read, so clashing names do not matter.
 
-Hashes are 64 bits of xxh3 per word, combined over a shingle; two different shingles of one comparison collide with a
-probability near 2^-64.
+Ids hold 56 bits of a hash of the shingle's words; two different shingles of one comparison are taken for one with a
+probability near 2^-56.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +50,52 @@ POSTINGS = 1_000_000  #: rows of a task that groups element lists
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class WordHashes(dict):
-    """Hash of each word met, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+class Powers:
+    """Powers of an odd multiplier and of its inverse modulo 2^64, as far as texts have needed them."""
+
+    base = 0x9E3779B97F4A7C15
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def reach(cls, n: int) -> None:
+        if n > len(cls.up):
+            n = max(n, 2 * len(cls.up), 1 << 16)
+            cls.up, cls.down = (cls._row(m, n) for m in (cls.base, pow(cls.base, -1, 1 << 64)))
+
+    @staticmethod
+    def _row(m: int, n: int) -> np.ndarray:
+        row = np.full(n, m, np.uint64)
+        row[0] = 1
+        return row.cumprod(dtype=np.uint64)
+
+
+_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+CHUNK = 1 << 20  #: bytes of a text whose words are hashed at once
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and length of each word: a polynomial over random numbers of its bytes, from differences of running sums."""
+    hashes, lengths, at = [], [], 0
+    every = np.frombuffer(raw, np.uint8)
+    while at < len(every):
+        stop = at + CHUNK
+        if stop < len(every):  # to the next space, so that no word is cut
+            while stop < len(every) and not _SPACE[every[stop]]:
+                stop += 1
+        b = every[at:stop]
+        at = stop
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]]).view(np.int8)))
+        first, end = edges[::2], edges[1::2]
+        Powers.reach(len(b) + 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTES[b] * Powers.up[: len(b)], out=sums[1:])
+        hashes.append((sums[end] - sums[first]) * Powers.down[first])
+        lengths.append(end - first)
+    if len(hashes) == 1:
+        return hashes[0], lengths[0]
+    return (np.concatenate(hashes), np.concatenate(lengths)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -64,27 +106,35 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def raw_shingles(text: str | None, hashes: WordHashes, k: int = SHINGLE) -> np.ndarray:
-    """Hashes of all shingles, repeats included. bytes.lower and bytes.split know ASCII only, as wanted."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def raw_shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """Ids of all shingles, repeats included: 8 bits that fall with the length of the shingle's words, then 56 of hash.
+
+    Shingles of long words are seldom shared by chance, so they come first in the order of ids. bytes.lower knows
+    ASCII only, as wanted.
+    """
     with np.errstate(over="ignore"):
+        w, lengths = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+        if not len(w):
+            return w
         if len(w) < k:
-            out = np.array([len(w)], np.uint64)
+            h, total = np.array([len(w)], np.uint64), np.array([lengths.sum()])
             for i in range(len(w)):
-                out = _mix(out * _MULT[0] + w[i : i + 1])
-            return out
-        n = len(w) - k + 1
-        total = np.zeros(n, np.uint64)
-        for i in range(k):
-            total += w[i : i + n] * _MULT[i]
-        return _mix(total)
+                h = _mix(h * _MULT[0] + w[i : i + 1])
+        else:
+            n = len(w) - k + 1
+            h, total = w[:n] * _MULT[0], lengths[:n].copy()
+            for i in range(1, k):
+                h += w[i : i + n] * _MULT[i]
+                total += lengths[i : i + n]
+            h = _mix(h)
+    return (255 - np.minimum(total, 255)).astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
 
 
-def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return np.unique(raw_shingles(text, hashes))
+def shingle_set(text: str | None) -> np.ndarray:
+    s = np.sort(raw_shingles(text))
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = s[1:] != s[:-1]
+    return s[fresh]
 
 
 def _texts(batches) -> Iterator[tuple[list, list]]:
@@ -96,7 +146,7 @@ def heavy_shingles(docs: DataFrame, keep: int = HEAVY, hold: int = 2_000_000) ->
     """At most ``keep`` shingles that stand in the most documents, as far as single tasks can tell."""
 
     def count(batches):
-        hashes, held, size, n_docs = WordHashes(), [], 0, 0
+        held, size, n_docs = [], 0, 0
 
         def flush():
             h, n = np.unique(np.concatenate(held), return_counts=True)
@@ -105,7 +155,7 @@ def heavy_shingles(docs: DataFrame, keep: int = HEAVY, hold: int = 2_000_000) ->
 
         for _, texts in _texts(batches):
             for t in texts:
-                s = shingle_set(t, hashes)
+                s = shingle_set(t)
                 held.append(s)
                 size += len(s)
                 n_docs += 1
@@ -139,6 +189,19 @@ def _class(s: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Bits of a set's shingles, by their lowest bits: two to four times as many bits as shingles."""
+    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    held = np.zeros(bits, bool)
+    held[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").view(np.uint64)
+
+
+def folded(b: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of fewer words: its parts, combined by OR, as the lowest bits name the places."""
+    return np.bitwise_or.reduce(b.reshape(-1, words), axis=0) if len(b) > words else b
+
+
 def _array(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     values = np.concatenate(parts) if parts else np.empty(0, np.uint64)
@@ -146,15 +209,16 @@ def _array(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def sets_table(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n, class (c1, c2) and prefix (light, heavy) of each row; no prefix where the task has met the class before."""
+    """doc_id, n, class (c1, c2), signature (lead, bits) and prefix (light, heavy) of each row; no signature and prefix
+    where the task has met the class before."""
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for ids, texts in _texts(batches):
-            n, classes, light, heavies = [], [], [], []
+            n, classes, light, heavies, lead, bits = [], [], [], [], [], []
             for t in texts:
-                s = shingle_set(t, hashes)
+                s = shingle_set(t)
                 c = _class(s)
                 n.append(len(s))
                 classes.append(c)
@@ -165,12 +229,14 @@ def sets_table(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                 a, b = _prefix(s, known.value) if new else (s[:0], s[:0])
                 light.append(a)
                 heavies.append(b)
+                lead.append(int(s[:1].view(np.int64)[0]) if new else None)
+                bits.append(bitmap(s).tobytes() if new else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), _array(light), _array(heavies)],
-                names=["doc_id", "n", "c1", "c2", "light", "heavy"],
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), pa.array(lead, pa.int64()), pa.array(bits, pa.binary()), _array(light), _array(heavies)],
+                names=["doc_id", "n", "c1", "c2", "lead", "bits", "light", "heavy"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, c1 bigint, c2 bigint, light array<bigint>, heavy array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, c1 bigint, c2 bigint, lead bigint, bits binary, light array<bigint>, heavy array<bigint>")
 
 
 def _lists(batches) -> Iterator[pa.RecordBatch]:
@@ -198,28 +264,30 @@ def _lists(batches) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["hub", "c1"])
 
 
+@dataclass
+class Member:
+    id: int
+    size: int
+    lead: int
+    bits: np.ndarray
+    part: int = 0
+    set: np.ndarray | None = None
+
+
 class Tree:
-    """Signature tree over the sets of a group; ``links`` traverses it against itself or another one."""
-
-    def __init__(self, sets: list[np.ndarray], ids: list[int], bits: int):
-        order = sorted(range(len(sets)), key=lambda i: (tuple(sets[i][:4].tolist()), len(sets[i]), ids[i]))
-        self.sets, self.ids = [sets[i] for i in order], [ids[i] for i in order]
-        n = len(order)
-        self.size = np.array([len(s) for s in self.sets], np.int64)
-        maps = np.empty((n, bits // 64), np.uint64)
-        for i, s in enumerate(self.sets):
-            held = np.zeros(bits, bool)
-            held[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-            maps[i] = np.packbits(held).view(np.uint64)
-        spare = self.size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    """Signature tree over members whose bitmaps are folded to ``words`` words."""
+
+    def __init__(self, members: list[Member], words: int):
+        self.members = sorted(members, key=lambda m: (m.lead, m.size, m.id))
+        maps = np.stack([folded(m.bits, words) for m in self.members])
+        size = np.array([m.size for m in self.members], np.int64)
+        spare = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         #: Levels from the leaves up: bitmaps, smallest and largest size, most shingles that share a bit with others.
-        self.levels = [(maps, self.size, self.size, spare)]
-        step = LEAF
+        self.levels = [(maps, size, size, spare)]
         while len(self.levels[-1][0]) > 1:
             m, lo, hi, sp = self.levels[-1]
-            cuts = np.arange(0, len(m), step)
+            cuts = np.arange(0, len(m), LEAF)
             self.levels.append((np.bitwise_or.reduceat(m, cuts, axis=0), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts), np.maximum.reduceat(sp, cuts)))
-        self.step = step
 
 
 def _possible(a, i, b, j) -> np.ndarray:
@@ -253,103 +321,126 @@ class Joined:
         return True
 
 
+def _linked(a: Member, b: Member) -> bool:
+    """Exactly, if both sets are there; else all that the signatures let pass."""
+    if a.set is None or b.set is None:
+        return True
+    both = len(np.intersect1d(a.set, b.set, assume_unique=True))
+    return DEN * both >= NUM * (a.size + b.size - both)
+
+
 def links(x: Tree, y: Tree, joined: Joined) -> Iterator[tuple[int, int]]:
     """Links between x and y (or within x, if y is x) that join components not joined before."""
     same = x is y
-    top = max(len(x.levels), len(y.levels)) - 1
-
-    def level(t: Tree, k: int):
-        return t.levels[min(k, len(t.levels) - 1)]
-
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    stack = [(max(len(x.levels), len(y.levels)) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         k, i, j = stack.pop()
-        a, b = level(x, k), level(y, k)
-        keep = _possible(a, i, b, j)
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        if k == 0:
-            for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                if same and p >= q or joined.find(x.ids[p]) == joined.find(y.ids[q]):
-                    continue
-                s, t = x.sets[p], y.sets[q]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if DEN * both >= NUM * (len(s) + len(t) - both) and joined.join(x.ids[p], y.ids[q]):
-                    yield x.ids[p], y.ids[q]
-            continue
-        below_x, below_y = level(x, k - 1), level(y, k - 1)
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            cx = _children(x, k, p, len(below_x[0]))
-            cy = _children(y, k, q, len(below_y[0]))
-            ci, cj = np.repeat(cx, len(cy)), np.tile(cy, len(cx))
-            if same:
-                up = ci <= cj
-                ci, cj = ci[up], cj[up]
-            if k == 1:
-                rx, ry = [joined.find(v) for v in (x.ids[v] for v in cx)], [joined.find(v) for v in (y.ids[v] for v in cy)]
-                if len({*rx, *ry}) == 1:
+        keep = _possible(_level(x, k), i, _level(y, k), j)
+        for p, q in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+            if k:
+                cx, cy = _children(x, k, p), _children(y, k, q)
+                if k == 1 and len({joined.find(t.members[c].id) for t, cs in ((x, cx), (y, cy)) for c in cs.tolist()}) == 1:
                     continue
-            stack.append((k - 1, ci, cj))
+                ci, cj = np.repeat(cx, len(cy)), np.tile(cy, len(cx))
+                if same:
+                    up = ci <= cj
+                    ci, cj = ci[up], cj[up]
+                stack.append((k - 1, ci, cj))
+                continue
+            a, b = x.members[p], y.members[q]
+            if (same and p >= q) or joined.find(a.id) == joined.find(b.id):
+                continue
+            if _linked(a, b):
+                joined.join(a.id, b.id)
+                yield a.id, b.id
 
 
-def _children(t: Tree, k: int, node: int, below: int) -> np.ndarray:
-    if k > len(t.levels) - 1:
-        return np.array([node])
-    return np.arange(node * t.step, min((node + 1) * t.step, below))
+def _level(t: Tree, k: int):
+    return t.levels[min(k, len(t.levels) - 1)]
 
 
-def _bits(sets: list[np.ndarray]) -> int:
-    """Bits of a group's bitmaps: twice its largest set, as a power of two."""
-    return max(256, 1 << int(2 * max(map(len, sets), default=1) - 1).bit_length())
+def _children(t: Tree, k: int, node: int) -> np.ndarray:
+    if k > len(t.levels) - 1:
+        return np.array([node])
+    return np.arange(node * LEAF, min((node + 1) * LEAF, len(t.levels[k - 1][0])))
 
 
-def group_links(members: list[tuple[int, int, np.ndarray]], i: int, j: int) -> list[tuple[int, int]]:
-    """Joining links of a group's parts i and j; members are (part, doc_id, set). Sizes are joined band by band, so that
-    bitmaps fit their sets."""
+def group_links(members: list[Member], i: int = 0, j: int = 0) -> list[tuple[int, int]]:
+    """Joining links within (i = j) or between a group's parts i and j. Sizes are joined band by band, so that bitmaps
+    fit their sets."""
     joined, out = Joined(), []
-    bands: dict[int, list] = {}
-    for part, d, s in members:
-        bands.setdefault(len(s).bit_length(), []).append((part, d, s))
+    bands: dict[int, list[Member]] = {}
+    for m in members:
+        bands.setdefault(m.size.bit_length(), []).append(m)
     for b in sorted(bands):
         # Sizes of linking sets differ by a third at most, so they lie in the same band or in neighbours.
-        near = bands.get(b + 1, [])
-        bits = _bits([m[2] for m in bands[b] + near])
+        rows = (bands[b], bands.get(b + 1, []))
+        if len(rows[0]) + len(rows[1]) < 2:
+            continue
+        words = min(len(m.bits) for own in rows for m in own)
         trees: dict[tuple[int, int], Tree | None] = {}
-        for which, rows in ((0, bands[b]), (1, near)):
+        for which, own in enumerate(rows):
             for part in {i, j}:
-                own = [m for m in rows if m[0] == part]
-                trees[which, part] = Tree([m[2] for m in own], [m[1] for m in own], bits) if own else None
-        pairs = [((0, i), (0, j)), ((0, i), (1, j))] + ([((0, j), (1, i))] if i != j else [])
-        for p, q in pairs:
+                mine = [m for m in own if m.part == part]
+                trees[which, part] = Tree(mine, words) if mine else None
+        for p, q in [((0, i), (0, j)), ((0, i), (1, j))] + [((0, j), (1, i))] * (i != j):
             if trees[p] is not None and trees[q] is not None:
                 out += links(trees[p], trees[q], joined)
     return out
 
 
-def _group_runs(batches) -> Iterator[pa.RecordBatch]:
-    """From rows (hub, i, j, part, c1, doc_id, text) sorted by (hub, i, j): joining links."""
-    hashes = WordHashes()
-    key, members, found = None, [], []
-
-    def batch_of(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
+def _runs(batches, width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Consecutive rows with the same first ``width`` columns, which the rows are sorted by."""
+    key, rows = None, []
     for batch in batches:
-        for hub, i, j, part, c1, d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (hub, i, j) != key:
-                if len(members) > 1:
-                    found += group_links(members, key[1], key[2])
-                key, members = (hub, i, j), []
-            s = shingle_set(text, hashes)
-            if _class(s)[0] == c1:  # another row may have the doc_id
-                members.append((part, d, s))
-        if len(found) > 10_000:
-            yield batch_of(found)
-            found = []
-    if len(members) > 1:
-        found += group_links(members, key[1], key[2])
-    yield batch_of(found)
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:width] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:width], []
+            rows.append(row[width:])
+    if rows:
+        yield key, rows
+
+
+def _batches(pairs: Iterator[tuple[int, int]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(pairs, 50_000)):
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in held], pa.int64()) for k in (0, 1)], names=names)
+
+
+def _candidates(batches) -> Iterator[pa.RecordBatch]:
+    """From rows (hub, i, j, part, c1, n, lead, bits) sorted by (hub, i, j): candidate sets (group, c1)."""
+
+    def found():
+        for (_, i, j), rows in _runs(batches, 3):
+            if len(rows) > 1:
+                sets = Joined()
+                for a, b in group_links([Member(c1, n, lead, np.frombuffer(bits, np.uint64), part) for part, c1, n, lead, bits in rows], i, j):
+                    sets.join(a, b)
+                of: dict[int, list[int]] = {}
+                for _, c1, *_ in rows:
+                    of.setdefault(sets.find(c1), []).append(c1)
+                for members in of.values():
+                    if len(members) > 1:
+                        members.sort()
+                        name = xxhash.xxh3_64_intdigest(np.array(members, np.int64).tobytes()) - (1 << 63)
+                        yield from ((name, c) for c in members)
+
+    yield from _batches(found(), ["g", "c1"])
+
+
+def _verified(batches) -> Iterator[pa.RecordBatch]:
+    """From rows (g, c1, doc_id, text) sorted by g: joining links."""
+    def found():
+        for _, rows in _runs(batches, 1):
+            members = []
+            for c1, d, text in rows:
+                s = shingle_set(text)
+                if len(s) and _class(s)[0] == c1:  # another row may have the doc_id
+                    members.append(Member(d, len(s), int(s[:1].view(np.int64)[0]), bitmap(s), 0, s))
+            yield from group_links(members)
+
+    yield from _batches(found(), ["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,18 +463,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         hubs = dense.groupBy("h").agg(F.min("c1").alias("hub"), F.max("c1").alias("most")).filter("hub < most").drop("most")
         pairs = pairs.unionByName(dense.join(F.broadcast(hubs), "h").select("hub", "c1"))
     groups = Cut(pairs.distinct(), "groups")
-    table.drop()
+    # Equal classes of different tasks have equal signatures.
+    marks = table.df.filter("bits is not null").groupBy("c1").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("bits").alias("bits"))
     sizes = groups.df.groupBy("hub").agg(F.count("*").alias("members"))
     parts = sizes.withColumn("parts", F.ceil(F.col("members") / GROUP).cast("int")).select("hub", "parts")
     m = groups.df.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("c1"), F.col("parts")).cast("int"))
-    m = m.join(classes.select("c1", "rep"), "c1").select("hub", "parts", "part", "c1", F.col("rep").alias("doc_id"))
     pair = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, part) as i, greatest(x, part) as j))")
-    m = m.withColumn("ij", F.explode(pair)).select("hub", "ij.i", "ij.j", "part", "c1", "doc_id")
-    # One text per member: rows that share a doc_id may differ, so all of them take part.
-    x = m.join(d.filter(F.col("text").isNotNull()), "doc_id").select("hub", "i", "j", "part", "c1", "doc_id", "text")
-    x = x.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), width), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    found = components(x.mapInArrow(_group_runs, "a bigint, b bigint"))
+    m = m.withColumn("ij", F.explode(pair)).select("hub", "ij.i", "ij.j", "part", "c1").join(marks, "c1").select("hub", "i", "j", "part", "c1", "n", "lead", "bits")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    m = m.repartition(max(least, width), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    sets = Cut(m.mapInArrow(_candidates, "g bigint, c1 bigint").distinct(), "candidates")
     groups.drop()
+    table.drop()
+    # One text per member: rows that share a doc_id may differ, so all of them are read.
+    x = sets.df.join(classes.select("c1", F.col("rep").alias("doc_id")), "c1").join(d.filter(F.col("text").isNotNull()), "doc_id").select("g", "c1", "doc_id", "text")
+    x = x.repartition(max(least, width), "g").sortWithinPartitions("g")
+    found = components(x.mapInArrow(_verified, "a bigint, b bigint"))
+    sets.drop()
     label = classes.join(found, classes["rep"] == found["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     out = small.join(label, ["c1", "c2"], "left")
     real = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
