@@ -70,8 +70,8 @@ with w as (select p_partkey, unnest(string_split(p_name, ' ')) as word from part
   union all select n_nationkey::bigint, [{', '.join(map(_str, T.LANGUAGES[:20]))}][n_nationkey % 20 + 1] from nation)
 select p_partkey, word, {_DENIED.format('word')} as denied from w
 """
-SQL["sequence_filter"] = f"with w as (select doc_id, substring(text, 1, 20) || case when doc_id % 3 = 0 then 'x0123456789y' else '0123' end as line from documents) select doc_id, {_SEQUENCE.format('line')} as has_sequence from w"
-SQL["url_predicate"] = f"select page_id, {_url(_strip('url'))} as is_url, {_url(_strip('substring(html, 1, 40)'))} as html_is_url from pages"
+SQL["sequence_filter"] = f"with w as (select doc_id, text || case when doc_id % 3 = 0 then 'x0123456789y' else '0123' end as line from documents) select doc_id, {_SEQUENCE.format('line')} as has_sequence from w"
+SQL["url_predicate"] = f"select page_id, {_url(_strip('url'))} as is_url, {_url(_strip('html'))} as html_is_url from pages"
 _PATH = "regexp_replace(url, '^[a-z]+://[^/]+|[?#].*$', '', 'g')"
 SQL["path_predicate"] = f"with p as (select page_id, {_PATH} as p from pages) select page_id, {_any('p', T.PATHS)} as is_path, {_any(chr(39) + 'src' + chr(39) + ' || p || ' + chr(39) + '.c' + chr(39), T.PATHS)} as file_is_path from p"
 SQL["binary_name"] = "select page_id, replace(regexp_extract(regexp_replace(url, '[?#].*$', '') || '.json', '([^/]+/[^/]+)/?$', 1), '.json', '') as bin_name from pages"
@@ -126,18 +126,18 @@ SQL["union_corpora"] = "select case lang when 'en' then 0 when 'de' then 1 else
 SQL["sibling_semi_join"] = "select o_orderkey, o_custkey as c_custkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 0) and o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')"
 _FUNCTIONS = """
 f as (select o_orderstatus as opt, o_custkey::varchar as "binary", 'fn_' || o_orderkey as func_name, o_orderkey as k, o_orderkey % 11 = 0 as invalid, o_orderkey % 9 as n,
-  'int fn_' || o_orderkey || '(void) { return ' || o_custkey || '; }' as code from orders where o_orderkey % 3 <> 0)
+  o_orderpriority <> '5-LOW' as called, o_totalprice > 100000 as s_called, 'int fn_' || o_orderkey || '(void) { return ' || o_custkey || '; }' as code from orders)
 """
 SQL["function_pairs"] = f"""
 with {_FUNCTIONS}
-select opt, "binary", func_name, code, 'fn_' || (k + 1) as caller, case when k % 5 <> 0 then replace(code, 'fn_', 'FUN_') end as stripped_code,
-  case when k % 5 <> 0 and k % 2 = 0 then '_puts' end as stripped_external, case when k % 5 <> 0 and k % 2 = 0 then 'fn_' || (k + 2) end as stripped_internal,
-  case when k % 5 <> 0 then 'FUN_' || k end as stripped_function_name
-from f where not invalid and n >= 5 and k % 7 <> 0
+select opt, "binary", func_name, code, 'fn_' || (k + 1) as caller, case when opt <> 'P' then replace(code, 'fn_', 'FUN_') end as stripped_code,
+  case when opt <> 'P' and s_called then '_puts' end as stripped_external, case when opt <> 'P' and s_called then 'fn_' || (k + 2) end as stripped_internal,
+  case when opt <> 'P' then 'FUN_' || k end as stripped_function_name
+from f where not invalid and n >= 5 and called
 """
-SQL["prediction_pairs"] = f"with {_FUNCTIONS} select func_name, case when k % 7 <> 0 then k::varchar end as caller, (k % 20)::int as n_assembly from f where k % 20 >= 10"
-SQL["context_attach"] = "select o_custkey as bin_name, o_orderkey, c_name as bin_info from orders join customer on o_custkey = c_custkey where c_custkey % 4 <> 0"
-SQL["context_missing_audit"] = "select o_custkey as bin_name, o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_custkey % 4 <> 0)"
+SQL["prediction_pairs"] = f"with {_FUNCTIONS} select func_name, case when called then k::varchar end as caller, (k % 20)::int as n_assembly from f where k % 20 >= 10"
+SQL["context_attach"] = "select o_custkey as bin_name, o_orderkey, c_name as bin_info from orders join customer on o_custkey = c_custkey where c_acctbal > 0"
+SQL["context_missing_audit"] = "select o_custkey as bin_name, o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)"
 SQL["constant_context"] = "select n_nationkey, n_name, r_regionkey, r_name from nation cross join (select * from region order by r_regionkey limit 1)"
 SQL["skip_list_anti"] = f"""
 with p as (select p_partkey, case p_partkey % 10 when 0 then 'main' when 1 then 'FUN_0010' else p_name end as func_name from part)
@@ -157,7 +157,8 @@ o as (select caller as func, string_agg(callee, ',' order by callee) as callees
 i as (select callee as func, string_agg(caller, ',' order by caller) as callers from back group by callee)
 select func, coalesce(callees, '') as callees, coalesce(callers, '') as callers from o full join i using (func)
 """
-_HALVES = f"with {_E}, forward as (select caller, callee from e where k % 2 = 0), backward as (select caller, callee from e where k % 3 = 0)"
+_HALVES = """with forward as (select distinct 'p' || l_partkey as caller, 's' || l_suppkey as callee from lineitem where l_returnflag <> 'R'),
+backward as (select distinct 'p' || l_partkey as caller, 's' || l_suppkey as callee from lineitem where l_returnflag = 'R')"""
 _SYMBOLS = "select 's' || s_suppkey from supplier where s_acctbal < 0"
 SQL["edge_closure"] = f"{_HALVES}, ahead as (select caller, callee from forward union select caller, callee from backward where callee not in ({_SYMBOLS})){_CLOSED}"
 SQL["forward_closure"] = f"{_HALVES}, ahead as (select * from forward){_CLOSED}"
@@ -178,7 +179,7 @@ select p_brand, p_partkey::varchar as func_name, coalesce(a, '') as callees, coa
 """
 
 SQL["jaccard_tokens"] = r"""
-with w as (select doc_id, list_distinct(string_split_regex(text, '\s+')) as w, (select list_distinct(string_split_regex(text, '\s+')) from benchmark where item_id = 0) as b from documents)
+with x as (select doc_id, list_distinct(string_split_regex(text, '\s+')) as w from documents), w as (select x.doc_id, x.w, y.w as b from x join x y on y.doc_id = x.doc_id + 1)
 select doc_id, round(len(list_intersect(w, b)) / (len(w) + len(b) - len(list_intersect(w, b))), 9) as jaccard from w
 """
 _SCORED = """
@@ -245,7 +246,7 @@ with {_COUNTS}, s as (select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(f
 select tp, fp, fn, round(p, 9) as precision, round(r, 9) as recall, round(2 * p * r / (p + r), 9) as f1 from p
 """
 SQL["judge_agreement"] = """
-with a as (select doc_id, quality = 1 as a from labels where doc_id % 5 <> 0), b as (select doc_id, toxic = 1 as b from labels where doc_id % 3 <> 0), x as (select * from a full join b using (doc_id))
+with a as (select doc_id, quality = 1 as a from labels where quality = 1 or toxic = 0), b as (select doc_id, toxic = 1 as b from labels where quality = 0 or toxic = 0), x as (select * from a full join b using (doc_id))
 select count(*) filter (a is not null and b is not null) as n_common, count(*) filter (a and b) as n_both_true, count(*) filter (b is null) as n_only_first, count(*) filter (a is null) as n_only_second,
   round(count(*) filter (a and b) / count(*) filter (a is not null and b is not null), 9) as ratio from x
 """

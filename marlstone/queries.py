@@ -63,13 +63,13 @@ def literal_deny_filter(spark, d):
 
 @query
 def sequence_filter(spark, d):
-    x = _t(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 20), F.when(F.col("doc_id") % 3 == 0, F.lit("x0123456789y")).otherwise(F.lit("0123"))).alias("line"))
+    x = _t(spark, d, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit("x0123456789y")).otherwise(F.lit("0123"))).alias("line"))
     return x.select("doc_id", T.has_sequence(F.col("line")).alias("has_sequence"))
 
 
 @query
 def url_predicate(spark, d):
-    return _t(spark, d, "pages").select("page_id", T.is_url(F.col("url")).alias("is_url"), T.is_url(F.substring("html", 1, 40)).alias("html_is_url"))
+    return _t(spark, d, "pages").select("page_id", T.is_url(F.col("url")).alias("is_url"), T.is_url(F.col("html")).alias("html_is_url"))
 
 
 @query
@@ -199,21 +199,21 @@ def sibling_semi_join(spark, d):
 
 def _functions(spark, d):
     """Orders as functions: customer is the binary, priority the name, order key the address."""
-    o = _t(spark, d, "orders").filter("o_orderkey % 3 <> 0")
+    o = _t(spark, d, "orders")
     base = {"arch": F.lit("x"), "opt": F.col("o_orderstatus"), "project": F.lit("p"), "binary": F.col("o_custkey").cast("string")}
     asm = F.when(F.col("o_orderkey") % 11 == 0, F.array(F.lit("?? ??"))).otherwise(F.array_repeat(F.lit("nop"), (F.col("o_orderkey") % 9).cast("int")))
     name = F.concat(F.lit("fn_"), F.col("o_orderkey").cast("string"))
     code = F.concat(F.lit("int "), name, F.lit("(void) { return "), F.col("o_custkey").cast("string"), F.lit("; }"))
-    return o.select(*[v.alias(k) for k, v in base.items()], name.alias("func_name"), asm.alias("assembly"), code.alias("decomp_code"), F.col("o_orderkey").cast("string").alias("start"), "o_orderkey", "o_custkey")
+    return o.select(*[v.alias(k) for k, v in base.items()], name.alias("func_name"), asm.alias("assembly"), code.alias("decomp_code"), F.col("o_orderkey").cast("string").alias("start"), "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
 
 
 def _paired(spark, d):
     f = _functions(spark, d)
-    stripped = f.filter("o_orderkey % 5 <> 0").select(*pairing.KEYS, "start", F.concat(F.lit("FUN_"), "start").alias("func_name"), "assembly", F.replace("decomp_code", F.lit("fn_"), F.lit("FUN_")).alias("decomp_code"))
+    stripped = f.filter("opt <> 'P'").select(*pairing.KEYS, "start", F.concat(F.lit("FUN_"), "start").alias("func_name"), "assembly", F.replace("decomp_code", F.lit("fn_"), F.lit("FUN_")).alias("decomp_code"))
     near = lambda k: F.array(F.concat(F.lit("fn_"), (F.col("o_orderkey") + k).cast("string")))
-    calls = f.filter("o_orderkey % 7 <> 0").select(*pairing.KEYS, "func_name", near(1).alias("caller"), near(2).alias("callee_internal"), F.array(F.lit("puts")).alias("callee_external"))
-    s_calls = f.filter("o_orderkey % 2 = 0").select(*pairing.KEYS, "start", F.array().cast("array<string>").alias("caller"), F.array().cast("array<string>").alias("callee_internal"), F.array(F.lit("_puts")).alias("callee_external"))
-    return pairing.pair(f.drop("o_orderkey", "o_custkey"), stripped, calls, s_calls)
+    calls = f.filter("o_orderpriority <> '5-LOW'").select(*pairing.KEYS, "func_name", near(1).alias("caller"), near(2).alias("callee_internal"), F.array(F.lit("puts")).alias("callee_external"))
+    s_calls = f.filter("o_totalprice > 100000").select(*pairing.KEYS, "start", F.array().cast("array<string>").alias("caller"), F.array().cast("array<string>").alias("callee_internal"), F.array(F.lit("_puts")).alias("callee_external"))
+    return pairing.pair(f.drop("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"), stripped, calls, s_calls)
 
 
 @query
@@ -227,21 +227,21 @@ def function_pairs(spark, d):
 @query
 def prediction_pairs(spark, d):
     f = _functions(spark, d).withColumn("assembly", F.array_repeat(F.lit("nop"), (F.col("o_orderkey") % 20).cast("int")))
-    calls = f.filter("o_orderkey % 7 <> 0").select("func_name", F.array("start").alias("caller"), F.array().cast("array<string>").alias("callee_internal"), F.array(F.lit("puts")).alias("callee_external"))
+    calls = f.filter("o_orderpriority <> '5-LOW'").select("func_name", F.array("start").alias("caller"), F.array().cast("array<string>").alias("callee_internal"), F.array(F.lit("puts")).alias("callee_external"))
     return pairing.attach_calls(f, calls, ["func_name"]).select("func_name", F.array_join("caller", ",").alias("caller"), F.size("assembly").alias("n_assembly"))
 
 
 @query
 def context_attach(spark, d):
     s = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("bin_name"))
-    c = _t(spark, d, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("bin_name"), F.col("c_name").alias("bin_info"))
+    c = _t(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("bin_name"), F.col("c_name").alias("bin_info"))
     return pairing.attach_context(s, c)
 
 
 @query
 def context_missing_audit(spark, d):
     s = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("bin_name"))
-    return pairing.without_context(s, _t(spark, d, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("bin_name")))
+    return pairing.without_context(s, _t(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("bin_name")))
 
 
 @query
@@ -286,9 +286,9 @@ def ordered_adjacency(spark, d):
 
 
 def _half_edges(spark, d):
-    e = _edges(spark, d)
-    n = F.regexp_extract("caller", r"(\d+)", 1).cast("long")
-    return e.filter(n % 2 == 0), e.filter(n % 3 == 0)
+    """Edges seen from the caller (not returned) and from the callee (returned)."""
+    x = _t(spark, d, "lineitem").select("l_returnflag", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
+    return graph.edges(x.filter("l_returnflag <> 'R'"), "a", "b"), graph.edges(x.filter("l_returnflag = 'R'"), "a", "b")
 
 
 @query
@@ -335,8 +335,7 @@ def first_n_neighbors(spark, d):
 @query
 def jaccard_tokens(spark, d):
     x = _t(spark, d, "documents").select("doc_id", F.split("text", r"\s+").alias("w"))
-    b = _t(spark, d, "benchmark").filter("item_id = 0").select(F.split("text", r"\s+").alias("b"))
-    return pairing.attach_constant(x, b, "b").select("doc_id", F.round(S.jaccard(F.col("w"), F.col("b")), 9).alias("jaccard"))
+    return x.join(x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("b")), "doc_id").select("doc_id", F.round(S.jaccard(F.col("w"), F.col("b")), 9).alias("jaccard"))
 
 
 def _blocks(spark, d, side):
@@ -484,7 +483,7 @@ def similar_prf1(spark, d):
 def judge_agreement(spark, d):
     x = _t(spark, d, "labels")
     side = lambda c, keep: x.filter(keep).select(F.concat(F.lit("__"), F.col("doc_id").cast("string")).alias("ground_truth"), F.when(F.col(c) == 1, "True").otherwise("false").alias("similarity"))
-    a = scoring.agreement(scoring.verdicts(side("quality", "doc_id % 5 <> 0")), scoring.verdicts(side("toxic", "doc_id % 3 <> 0")))
+    a = scoring.agreement(scoring.verdicts(side("quality", "quality = 1 or toxic = 0")), scoring.verdicts(side("toxic", "quality = 0 or toxic = 0")))
     return a.withColumn("ratio", F.round("ratio", 9))
 
 
