@@ -3,12 +3,12 @@
 Graph. Equal vectors count once (class representative: smallest id). Vectors go to the cells of at most ``PIVOTS``
 pivots, drawn by hash (their number is the only thing fitted on a sample; every vector is indexed), and cells to blocks
 of about ``BLOCK``. Blocks give each vector its first ``K`` neighbours; NN-descent then joins, at every vector, its
-neighbours and reverse neighbours with each other (neighbours of neighbours), and keeps the best K, until few lists
-change. Joins ship each vector once per block of vectors that needs it. Reverse lists of much-linked vectors are thinned
+neighbours and reverse neighbours with each other (neighbours of neighbours), and keeps the best K, until less than
+``SETTLED`` of all links change; no number of rounds ends it before. Joins ship each vector once per block of vectors that needs it. Reverse lists of much-linked vectors are thinned
 by hash to about K; that is the method's own sampling.
 
-Search. Queries start from their own lists and expand the ``WIDTH`` best unexpanded vectors of a pool of ``POOL``, a few
-rounds long; all queries of a block are scored in double precision against everything that the block reaches. Classes
+Search. Queries start from their own lists and expand the ``WIDTH`` best unexpanded vectors of a pool of ``POOL``, until
+every vector of the pool is expanded; all queries of a block are scored in double precision against everything that the block reaches. Classes
 are expanded at the end: the first k + 1 members of a class are all that can enter a result.
 
 * null vectors, zero vectors, and vectors that hold null or non-finite components take no part, as query or candidate;
@@ -19,6 +19,7 @@ are expanded at the end: the first k + 1 members of a class are all that can ent
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -32,12 +33,10 @@ from marlstone.plans.storage import Cut, cut
 K = 40  #: neighbours of each vector in the graph
 PIVOTS = 1024
 BLOCK = 512
-ROUNDS = 4  #: of NN-descent
-SETTLED = 0.02  #: share of changed links below which it ends
+SETTLED = 0.02  #: share of changed links below which NN-descent ends
 SENT = 10  #: better neighbours that a block reports for a vector
 POOL = 80
 WIDTH = 24
-STEPS = 3
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -162,7 +161,7 @@ def graph(vectors: DataFrame, blocks: DataFrame) -> DataFrame:
     home = blocks.filter("rank = 0").select("id", "block", "x")
     first = blocks.groupBy("block").applyInArrow(_first_lists, "u bigint, v bigint, s double").withColumn("new", F.lit(True))
     lists = Cut(_keep_best(first), "graph")
-    for t in range(ROUNDS):
+    for t in itertools.count():  # a list only ever gets better, so the share of changes falls
         into = lists.df.groupBy("v").agg(F.count("*").alias("into"))
         worst = lists.df.groupBy("u").agg(F.min("s").alias("least"), F.count("*").alias("n"))
         m = home.select("id", "block").join(into, F.col("id") == into["v"], "left").join(worst, F.col("id") == worst["u"], "left")
@@ -213,13 +212,17 @@ def search(queries: DataFrame, vectors: DataFrame, lists: DataFrame) -> DataFram
     asked = cut(queries, "asked")
     start = lists.join(asked.select(F.col("q").alias("u"), "block"), "u").select("block", F.col("u").alias("q"), "v", F.col("s"), F.lit(False).alias("done"))
     pool = Cut(start, "pool")
-    for _ in range(STEPS):
+    while True:  # each step expands a vector of every query that has one left
         open_ = F.row_number().over(W.partitionBy("q", "done").orderBy(F.col("s").desc(), "v"))
         marked = pool.df.withColumn("r", open_).withColumn("go", ~F.col("done") & (F.col("r") <= WIDTH)).drop("r")
         marked = Cut(marked, "marked")
+        going = marked.df.filter("go").select("q").distinct()
+        if going.isEmpty():
+            marked.drop()
+            break
         reached = marked.df.filter("go").select("block", "v").distinct().join(adjacent, "v").select("block", F.col("w").alias("id")).distinct()
         found = reached.join(vectors.select("id", "x"), "id").select(F.col("block").alias("at"), "id", "x")
-        scored = asked.select("block", "q", "x").groupBy("block").cogroup(found.groupBy("at")).applyInArrow(_score, "q bigint, v bigint, s double")
+        scored = asked.join(going, "q", "left_semi").select("block", "q", "x").groupBy("block").cogroup(found.groupBy("at")).applyInArrow(_score, "q bigint, v bigint, s double")
         blocks = asked.select("q", "block")
         rows = marked.df.select("q", "v", F.col("s"), (F.col("done") | F.col("go")).alias("done")).unionByName(scored.withColumn("done", F.lit(False)))
         one = rows.repartition("q").groupBy("q", "v").agg(F.max("s").alias("s"), F.max("done").alias("done"))

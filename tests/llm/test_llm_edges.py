@@ -363,3 +363,21 @@ def test_pipeline_stages_by_plain_versions(spark):
     e = corpus_pipeline.bpe_encoding(spark, m, sf)
     assert sorted(r["decoded_sha256"] for r in e.collect()) == sorted(map(SHA, mixed))
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, e.collect()))
+
+
+def test_nearest_recall_across_blocks(spark, monkeypatch):
+    """Lists and pools so small that a fixed few rounds and steps do not reach the neighbours of 3000 vectors."""
+    for name, value in {"K": 10, "BLOCK": 64, "SENT": 2, "POOL": 60, "WIDTH": 2}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.random.default_rng(7).normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, lambda i: i % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * 30) >= 0.9
