@@ -1,6 +1,6 @@
 """License scan: exact containment join of text blocks with license templates, in DataFrame functions only.
 
-A block (a line; for long templates a paragraph) matches a template T if at least ``THETA`` of T's distinct words
+A block (a line, or a paragraph of several lines: notices are wrapped) matches a template T if at least ``THETA`` of T's distinct words
 stand in it. Words are ordered by their frequency in all texts, rarest first. Then
 
 * prefix filter: a matching block holds one of the first |T| - need + 1 words of T, need = ceil(THETA |T|);
@@ -28,7 +28,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 THETA = 0.9
 MAX_TEMPLATES = 2000
-LONG = 25  #: words from which a template is looked for in paragraphs too
+LONG = 25  #: words from which license_oracle looks for a template in paragraphs too; scan does so for all
 
 #: Fixed values: (label, wording) of common notices and license texts.
 TEMPLATES = (
@@ -91,45 +91,44 @@ def scan(docs: DataFrame, templates=TEMPLATES, theta: float = THETA, id_col: str
     sets = [(label, template_words(text)) for label, text in templates]
     counts = word_counts(docs, {w for _, ws in sets for w in ws}, text_col)
     ranks = {w: i for i, w in enumerate(sorted({w for _, ws in sets for w in ws}, key=lambda w: (counts.get(w, 0), w)))}
-    index, prefixes = [], {False: set(), True: set()}
+    index, prefixes = [], set()
     for t, (label, ws) in enumerate(sets):
         need = math.ceil(theta * len(ws) - 1e-9)
         ordered = sorted(ws, key=ranks.__getitem__)
         for j, w in enumerate(ordered[: len(ws) - need + 1]):
-            for long in {False, len(ws) >= LONG}:
-                index.append((t, label, long, w, j, need, ordered))
-                prefixes[long].add(w)
+            index.append((t, label, w, j, need, ordered))
+            prefixes.add(w)
     spark = docs.sparkSession
-    index_rows = spark.createDataFrame(index, "t int, label string, long boolean, w string, j int, need int, words array<string>")
+    index_rows = spark.createDataFrame(index, "t int, label string, w string, j int, need int, words array<string>")
 
-    def has(text: Column, long: bool) -> Column:
-        if not prefixes[long]:
+    def has(text: Column) -> Column:
+        if not prefixes:
             return F.lit(False)
-        return F.rlike(text, F.lit("(?<![a-zA-Z0-9\\x{80}-\\x{10FFFF}])(?i:" + "|".join(sorted(map(re.escape, prefixes[long]))) + ")(?![a-zA-Z0-9\\x{80}-\\x{10FFFF}])"))
+        return F.rlike(text, F.lit("(?<![a-zA-Z0-9\\x{80}-\\x{10FFFF}])(?i:" + "|".join(sorted(map(re.escape, prefixes))) + ")(?![a-zA-Z0-9\\x{80}-\\x{10FFFF}])"))
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("words", _words(F.col("text")))
     phrase = F.rlike("text", F.lit("(?i)license"))
     d = d.withColumn("lower", F.when(phrase, F.transform("words", F.lower)))
-    none = F.array().cast("array<struct<long:boolean,block:string>>")
-    lines = F.when(has(F.col("text"), False), F.transform(F.filter(F.split("text", "\n"), lambda b: has(b, False)), lambda b: F.struct(F.lit(False).alias("long"), b.alias("block"))))
-    paragraphs = F.when(has(F.col("text"), True), F.transform(F.filter(F.split("text", "\n[ \t\r]*\n"), lambda b: has(b, True)), lambda b: F.struct(F.lit(True).alias("long"), b.alias("block"))))
+    lines = F.filter(F.split("text", "\n"), has)
+    paragraphs = F.filter(F.split("text", "\n[ \t\r]*\n"), lambda b: F.contains(b, F.lit("\n")) & has(b))  # one of a single line is that line
+    blocks = F.when(has(F.col("text")), F.concat(lines, paragraphs))
     d = d.select(
         "doc_id", "row", F.size("words").cast("long").alias("n_words"), F.concat(*[_places(*p) for p in PHRASES]).alias("base"),
-        F.concat(F.coalesce(lines, none), F.coalesce(paragraphs, none)).alias("blocks"),
+        blocks.alias("blocks"),
     )
     at = F.transform("base", lambda x: x["at"])
     d = d.select("doc_id", "row", "n_words", F.coalesce(F.size(F.col("base")), F.lit(0)).alias("nb"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), F.coalesce(F.array_distinct(F.transform("base", lambda x: x["label"])), F.array().cast("array<string>")).alias("bl"), "blocks")
     d = d.withColumn("nb", F.greatest("nb", F.lit(0)).cast("long"))
     x = d.withColumn("b", F.explode_outer("blocks")).drop("blocks")
-    x = x.withColumn("set", F.array_distinct(F.transform(_words(F.col("b.block")), F.lower)))
+    x = x.withColumn("set", F.array_distinct(F.transform(_words(F.col("b")), F.lower)))
     vocabulary = F.array(*[F.lit(w) for w in ranks])
     x = x.withColumn("own", F.array_intersect(vocabulary, "set")).withColumn("len", F.size("set"))  # the block's template words, rarest first
-    x = x.withColumn("p", F.explode_outer(F.transform("own", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))).withColumn("long", F.col("b.long")).withColumn("w", F.col("p.w"))
-    hit = x.join(F.broadcast(index_rows), ["w", "long"], "left")
+    x = x.withColumn("p", F.explode_outer(F.transform("own", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))).withColumn("w", F.col("p.w"))
+    hit = x.join(F.broadcast(index_rows), "w", "left")
     possible = (F.col("len") >= F.col("need")) & (F.least(F.size("words") - F.col("j"), F.size("own") - F.col("p.i")) >= F.col("need"))
     shared = F.when(F.col("need").isNotNull() & possible, F.size(F.array_intersect("words", "own")))
-    hit = hit.withColumn("shared", shared).withColumn("m", F.when(F.col("shared") >= F.col("need"), F.struct(F.col("label"), (F.col("shared") / F.size("words")).alias("containment"), F.col("b.block").alias("block"))))
+    hit = hit.withColumn("shared", shared).withColumn("m", F.when(F.col("shared") >= F.col("need"), F.struct(F.col("label"), (F.col("shared") / F.size("words")).alias("containment"), F.col("b").alias("block"))))
     g = hit.groupBy("doc_id", "row", "n_words", "nb", "first_word", "last_word", "bl").agg(F.collect_set("m").alias("matches"))
     found = F.transform("matches", lambda m: m["label"])
     score = F.when(F.size("bl") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)))

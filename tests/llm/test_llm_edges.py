@@ -153,6 +153,15 @@ def test_wrapped_license_text(spark):
     assert r["labels"] == "mit" and r["matches"][0]["block"] == text
 
 
+def test_every_template_wrapped(spark):
+    rows = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        w = text.split(" ")
+        rows.append((k, "intro\n\n" + " ".join(w[: len(w) // 2]) + "\n" + " ".join(w[len(w) // 2 :]) + "\n\nmore"))
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        assert licenses.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == 1.0
+
+
 def test_quality(docs):
     r = by_id(quality_rules.ledger(docs))
     assert r[1]["n_words"] == 0 and r[1]["failed_bits"] == 1
