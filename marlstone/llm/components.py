@@ -14,7 +14,7 @@ from marlstone.plans.storage import Cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has a link."""
+    """(node, component): the smallest node reachable, for every node that has a link. Nodes may be of any ordered type."""
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct()
     edges = Cut(both, "links")

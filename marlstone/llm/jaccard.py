@@ -1,28 +1,30 @@
 """Exact Jaccard join of documents on word shingles, with signature trees.
 
 1. Shingles. Each text becomes the set of 64-bit ids of its word shingles. A first pass finds shingles that stand in
-   many documents of some task (``HEAVY`` of them are kept; they only set an order, so no result depends on them).
+   many documents of some task (at most ``HEAVY`` are kept; they only set an order, so no result depends on them).
 2. Prefix filter. In the order (heavy last, then by id, which puts shingles of long words first) two sets with Jaccard >= t share one of the first
    n - ceil(t n) + 1 elements of each. Documents are dealt out by those elements; equal sets count once per task.
 3. Groups. The members of an element's list are put into the group of the list's smallest class; every linking pair
    meets in such a group. Groups over ``GROUP`` members are cut into parts that meet pairwise, so no task holds more
-   than two parts.
+   than two parts; members are dealt out by (group, part, part) straight from where they are read, never by group.
 4. Signature trees. A group's members, ordered by size band and first shingle, are the leaves of a tree whose nodes
    hold OR-combined bitmaps, size ranges and the largest number of shingles that share bits. A dual traversal of the
    tree with itself skips node pairs whose sizes are too far apart or whose largest possible overlap is too small.
    Members that still may link form candidate sets; a set found in several groups is kept once. Only bitmaps move here.
 5. Verification. The texts of a candidate set come together; the same traversal, now with exact intersections at the
    leaves, returns links that join components and skips what is joined already.
-6. Components of these links, and of classes of equal sets, give every document its smallest reachable doc_id.
+6. Components of these links. A node is a class of equal sets, known by 128 bits of hash, never by an id: rows that
+   share an id, or have none, are nodes of their own sets.
 
 * null, empty or word-less text: empty set, linked with nothing; fewer words than a shingle: the sequence is the one
   shingle; very long text: one sorted array of hashes, in the task that holds its row anyway;
-* ties and repeated rows: equal sets form a class, represented by its smallest doc_id, which is its node in the graph;
-  rows that share a doc_id are told apart by their sets; a null doc_id is treated as the smallest possible id;
+* ties and repeated rows: equal sets form a class; rows that share a doc_id are told apart by their sets;
+* null doc_id: the row links as any other, but lends no id: a component's id is its smallest doc_id that is not null,
+  and null if it has none; a row that is linked with nothing has its own doc_id, null or not;
 * empty table: empty result; extra columns: only id and text are read, so clashing names do not matter.
 
 Ids hold 56 bits of a hash of the shingle's words; two different shingles of one comparison are taken for one with a
-probability near 2^-56.
+probability near 2^-56, two sets for one class with a probability near 2^-64 where groups are made and 2^-128 else.
 """
 
 from __future__ import annotations
@@ -37,14 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.bpe import bound_batches
+from marlstone.llm.batches import slices
 from marlstone.llm.components import components
+from marlstone.plans.rows import col, packed, unpacked
 from marlstone.plans.storage import Cut, cut
 
 SHINGLE = 5
 NUM, DEN = 3, 4  #: link when DEN * intersection >= NUM * union
-HEAVY = 65_536
+HEAVY = 1 << 18
 GROUP = 1024
+CUT_GROUPS = 1 << 18  #: groups of several parts up to which the number of their parts is broadcast
 LEAF = 16
 POSTINGS = 1_000_000  #: rows of a task that groups element lists
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -137,13 +141,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     return s[fresh]
 
 
-def _texts(batches) -> Iterator[tuple[list, list]]:
-    for b in batches:
-        yield b.column(0).to_pylist(), b.column(1).to_pylist()
-
-
 def heavy_shingles(docs: DataFrame, keep: int = HEAVY, hold: int = 2_000_000) -> np.ndarray:
-    """At most ``keep`` shingles that stand in the most documents, as far as single tasks can tell."""
+    """Shingles that stand in the most documents, as far as single tasks can tell: all above the least power of two
+    that leaves at most ``keep``."""
 
     def count(batches):
         held, size, n_docs = [], 0, 0
@@ -153,8 +153,8 @@ def heavy_shingles(docs: DataFrame, keep: int = HEAVY, hold: int = 2_000_000) ->
             top = n >= max(16, n_docs // 250)
             return pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["h", "n"])
 
-        for _, texts in _texts(batches):
-            for t in texts:
+        for batch in slices(batches):
+            for t in batch.column(0).to_pylist():
                 s = shingle_set(t)
                 held.append(s)
                 size += len(s)
@@ -165,8 +165,15 @@ def heavy_shingles(docs: DataFrame, keep: int = HEAVY, hold: int = 2_000_000) ->
         if held:
             yield flush()
 
-    found = docs.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "h").limit(keep)
-    return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))
+    found = Cut(docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.length(F.bin(F.sum("n"))).alias("bits")), "heavy")
+    least, left = 64, keep
+    for r in found.df.groupBy("bits").agg(F.count("*").alias("n")).orderBy(F.col("bits").desc()).collect():
+        if (left := left - r["n"]) < 0:
+            break
+        least = r["bits"]
+    heavy = found.df.filter(F.col("bits") >= least).select("h").toArrow().column(0).to_numpy().view(np.uint64)
+    found.drop()
+    return np.sort(heavy)
 
 
 def _prefix(s: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,15 +216,15 @@ def _array(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def sets_table(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n, class (c1, c2), signature (lead, bits) and prefix (light, heavy) of each row; no signature and prefix
-    where the task has met the class before."""
+    """doc_id, fp, n, class (c1, c2), signature (lead, bits) and prefix (light, heavy) of each row of (doc_id, fp, text);
+    no signature and prefix where the task has met the class before."""
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
         seen = set()
-        for ids, texts in _texts(batches):
+        for batch in slices(batches):
             n, classes, light, heavies, lead, bits = [], [], [], [], [], []
-            for t in texts:
+            for t in batch.column(2).to_pylist():
                 s = shingle_set(t)
                 c = _class(s)
                 n.append(len(s))
@@ -232,41 +239,46 @@ def sets_table(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                 lead.append(int(s[:1].view(np.int64)[0]) if new else None)
                 bits.append(bitmap(s).tobytes() if new else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), pa.array(lead, pa.int64()), pa.array(bits, pa.binary()), _array(light), _array(heavies)],
-                names=["doc_id", "n", "c1", "c2", "lead", "bits", "light", "heavy"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), pa.array(lead, pa.int64()), pa.array(bits, pa.binary()), _array(light), _array(heavies)],
+                names=["doc_id", "fp", "n", "c1", "c2", "lead", "bits", "light", "heavy"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, c1 bigint, c2 bigint, lead bigint, bits binary, light array<bigint>, heavy array<bigint>")
+    return docs.select("doc_id", "fp", "text").mapInArrow(run, "doc_id bigint, fp bigint, n bigint, c1 bigint, c2 bigint, lead bigint, bits binary, light array<bigint>, heavy array<bigint>")
 
 
 def _lists(batches) -> Iterator[pa.RecordBatch]:
-    """From (element, class) rows of whole elements: (group, class), each pair once."""
-    keys, classes = [], []
+    """From (element, class) rows sorted by element: (group, class), each pair of a run of elements once. Runs of
+    about POSTINGS rows are held at once, and an element's list at least: not heavy, it is short beside a task's rows."""
+
+    def of(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        at = np.flatnonzero(first)
+        hub = np.repeat(c[at], np.diff(np.append(at, len(h))))
+        # A list of one class gives nothing but its own hub; in a longer one the hub is a member like the others.
+        joins = np.repeat(np.maximum.reduceat(c, at) > c[at], np.diff(np.append(at, len(h))))
+        pairs = np.unique(np.stack([hub[joins], c[joins]]), axis=1) if joins.any() else np.empty((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["hub", "c1"])
+
+    keys, classes, size = [], [], 0
     for b in batches:
         keys.append(b.column(0).to_numpy())
         classes.append(b.column(1).to_numpy())
-    if not keys:
-        return
-    h, c = np.concatenate(keys), np.concatenate(classes)
-    keys.clear(), classes.clear()
-    order = np.lexsort((c, h))
-    h, c = h[order], c[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    h, c = h[fresh], c[fresh]
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    at = np.flatnonzero(first)
-    lengths = np.diff(np.append(at, len(h)))
-    hub = np.repeat(c[at], lengths)
-    shared = np.repeat(lengths, lengths) > 1
-    pairs = np.unique(np.stack([hub[shared], c[shared]]), axis=1) if shared.any() else np.empty((2, 0), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["hub", "c1"])
+        size += len(b)
+        if size >= POSTINGS and len(b) and keys[0][0] != keys[-1][-1]:
+            h, c = np.concatenate(keys), np.concatenate(classes)
+            whole = np.flatnonzero(h != h[-1])[-1] + 1  # the last element's list may go on
+            yield of(h[:whole], c[:whole])
+            keys, classes, size = [h[whole:]], [c[whole:]], len(h) - whole
+    if size:
+        yield of(np.concatenate(keys), np.concatenate(classes))
 
 
 @dataclass
 class Member:
-    id: int
+    id: int | tuple[int, int]
     size: int
     lead: int
     bits: np.ndarray
@@ -403,9 +415,9 @@ def _runs(batches, width: int) -> Iterator[tuple[tuple, list[tuple]]]:
         yield key, rows
 
 
-def _batches(pairs: Iterator[tuple[int, int]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    while held := list(islice(pairs, 50_000)):
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in held], pa.int64()) for k in (0, 1)], names=names)
+def _batches(rows: Iterator[tuple[int, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, 50_000)):
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in held], pa.int64()) for k in range(len(names))], names=names)
 
 
 def _candidates(batches) -> Iterator[pa.RecordBatch]:
@@ -430,33 +442,44 @@ def _candidates(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches) -> Iterator[pa.RecordBatch]:
-    """From rows (g, c1, doc_id, text) sorted by g: joining links."""
+    """From rows (g, text) sorted by g: joining links between classes."""
+
     def found():
         for _, rows in _runs(batches, 1):
             members = []
-            for c1, d, text in rows:
+            for (text,) in rows:
                 s = shingle_set(text)
-                if len(s) and _class(s)[0] == c1:  # another row may have the doc_id
-                    members.append(Member(d, len(s), int(s[:1].view(np.int64)[0]), bitmap(s), 0, s))
-            yield from group_links(members)
+                members.append(Member(_class(s), len(s), int(s[:1].view(np.int64)[0]), bitmap(s), 0, s))
+            for a, b in group_links(members):
+                yield (*a, *b)
 
-    yield from _batches(found(), ["a", "b"])
+    yield from _batches(found(), ["a1", "a2", "b1", "b2"])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
+#: What tells rows apart: the id (or that it is null) and a fingerprint of the text.
+KEY = ["no_id", "id0", "fp"]
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> dict:
+    id_, text = col(id_col).cast("long"), col(text_col)
+    return {"no_id": id_.isNull(), "id0": F.coalesce(id_, F.lit(0)), "fp": F.xxhash64(F.coalesce(text, F.lit("")))}
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, fp, n, c1, c2), and the classes (c1, c2, component_id, keeper): ``keeper`` is the KEY of the
+    component's first row, by doc_id (nulls last) and fingerprint."""
     spark = docs.sparkSession
-    bound_batches(spark)
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), *[c.alias(k) for k, c in _keyed(docs, id_col, text_col).items()])
     heavy = heavy_shingles(d)
     table = Cut(sets_table(d, heavy), "sets")
-    rows = table.df.select("doc_id", "n", "c1", "c2")
-    small = cut(rows, "set-ids")
-    classes = cut(small.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
+    small = cut(table.df.select("doc_id", "fp", "n", "c1", "c2"), "set-ids")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id0"), "fp"))
+    classes = cut(small.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), first.alias("keeper")), "classes")
     n_postings = table.df.agg(F.sum(F.size("light"))).first()[0] or 0
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_postings // POSTINGS))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = max(least, -(-n_postings // POSTINGS))
     light = table.df.filter(F.size("light") > 0).select(F.explode("light").alias("h"), "c1")
-    pairs = light.repartition(width, "h").mapInArrow(_lists, "hub bigint, c1 bigint")
+    pairs = light.repartition(width, "h").sortWithinPartitions("h").mapInArrow(_lists, "hub bigint, c1 bigint")
     if len(heavy):
         # A heavy element's list may hold much of the corpus: its smallest class is aggregated, and at most HEAVY rows are broadcast.
         dense = table.df.filter(F.size("heavy") > 0).select(F.explode("heavy").alias("h"), "c1")
@@ -465,22 +488,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = Cut(pairs.distinct(), "groups")
     # Equal classes of different tasks have equal signatures.
     marks = table.df.filter("bits is not null").groupBy("c1").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("bits").alias("bits"))
-    sizes = groups.df.groupBy("hub").agg(F.count("*").alias("members"))
-    parts = sizes.withColumn("parts", F.ceil(F.col("members") / GROUP).cast("int")).select("hub", "parts")
-    m = groups.df.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("c1"), F.col("parts")).cast("int"))
+    big = groups.df.groupBy("hub").agg(F.count("*").alias("members")).filter(F.col("members") > GROUP)
+    big = Cut(big.select("hub", F.ceil(F.col("members") / GROUP).cast("int").alias("parts")), "parts")
+    parts = F.broadcast(big.df) if big.df.count() <= CUT_GROUPS else big.df
+    m = groups.df.join(parts, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("c1"), F.col("parts")).cast("int"))
     pair = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, part) as i, greatest(x, part) as j))")
     m = m.withColumn("ij", F.explode(pair)).select("hub", "ij.i", "ij.j", "part", "c1").join(marks, "c1").select("hub", "i", "j", "part", "c1", "n", "lead", "bits")
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    m = m.repartition(max(least, width), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    m = m.repartition(width, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     sets = Cut(m.mapInArrow(_candidates, "g bigint, c1 bigint").distinct(), "candidates")
-    groups.drop()
-    table.drop()
-    # One text per member: rows that share a doc_id may differ, so all of them are read.
-    x = sets.df.join(classes.select("c1", F.col("rep").alias("doc_id")), "c1").join(d.filter(F.col("text").isNotNull()), "doc_id").select("g", "c1", "doc_id", "text")
-    x = x.repartition(max(least, width), "g").sortWithinPartitions("g")
-    found = components(x.mapInArrow(_verified, "a bigint, b bigint"))
+    for x in (groups, big, table):
+        x.drop()
+    # One text per member; rows that are alike in id and text are combined before they are dealt out.
+    wanted = sets.df.join(classes.select("c1", "keeper.*"), "c1").select("g", *KEY)
+    texts = d.filter(F.col("text").isNotNull()).groupBy(*KEY).agg(F.first("text").alias("text"))
+    x = wanted.join(texts, KEY).select("g", "text").repartition(width, "g").sortWithinPartitions("g")
+    links = x.mapInArrow(_verified, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    found = components(links.select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b")))
     sets.drop()
-    label = classes.join(found, classes["rep"] == found["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
-    out = small.join(label, ["c1", "c2"], "left")
-    real = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
-    return out.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = classes.join(found.select("node.*", "component"), ["c1", "c2"])
+    whole = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.min("keeper").alias("first"))
+    linked = linked.select("c1", "c2", "component").join(whole, "component").drop("component").withColumn("linked", F.lit(True))
+    of = classes.join(linked, ["c1", "c2"], "left")
+    own = lambda c, else_: F.when(F.col("linked"), F.col(c)).otherwise(F.col(else_))
+    return small, of.select("c1", "c2", own("component_id", "least").alias("component_id"), own("first", "keeper").alias("keeper"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of each row."""
+    rows, classes = _classes(docs, id_col, text_col)
+    out = rows.join(classes.drop("keeper"), ["c1", "c2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their components: that of the smallest doc_id (nulls last; equal ids by
+    fingerprint), once. Rows without words are linked with nothing: all of them stay."""
+    rows, classes = _classes(docs, id_col, text_col)
+    stay = classes.select("keeper.*").distinct()
+    d = docs.select(packed(docs), F.col(f"`{text_col}`").alias("text"), *[c.alias(k) for k, c in _keyed(docs, id_col, text_col).items()])
+    worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    kept = d.filter(worded).groupBy(*KEY).agg(F.first("row").alias("row")).join(stay, KEY, "left_semi")
+    return unpacked(kept.select("row").unionByName(d.filter(~worded).select("row")), docs.columns)
