@@ -29,22 +29,34 @@ from b
 """
 
 SQL["op1_source_mix"] = r"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-  md5('mix:' || coalesce(doc_id::varchar, 'null')) as h from documents),
+with d as (select doc_id, source, row_number() over () as rid, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+  md5('mix:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))) as h from documents),
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as i from d group by source),
 w as (select *, [5, 2, 1][((i - 1) % 3 + 1)::int]::bigint as w, 3 * source_size as cap from s),
 o as (select *, sum(source_size) over () as total, sum(w) over () as all_w,
   coalesce(sum(cap) over (order by cap / w, i rows between unbounded preceding and 1 preceding), 0) as cap_b,
   coalesce(sum(w) over (order by cap / w, i rows between unbounded preceding and 1 preceding), 0) as w_b from w),
 c as (select *, (total - cap_b) * w > cap * (all_w - w_b) as capped from o),
-t as (select source, source_size, case when capped then cap::double
+t as (select i, source, source_size, case when capped then cap::double
   else ((total - coalesce(sum(case when capped then cap end) over (), 0)) * w)::double / (sum(case when not capped then w end) over ())::double end as target from c),
-p as (select doc_id, size, source_size::bigint as source_size, target, floor(target)::bigint as quota,
-  coalesce(sum(size) over (partition by d.source order by h, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as pos
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (greatest(0, least(pos + size, quota) - pos) + greatest(0, least(source_size + pos + size, quota) - source_size - pos)
-  + greatest(0, least(2 * source_size + pos + size, quota) - 2 * source_size - pos))::bigint as taken from p
+q as materialized (select *, floor(target)::bigint as quota, ((floor(target)::bigint + 4095) // 4096)::bigint as need from t),
+g as (select i, need, sum(target) over (order by i) as hi from q where need > 0),
+b as (select i, need, hi / max(hi) over () as hi from g),
+r as (select i, need, coalesce(lag(hi) over (order by i), 0.0) as lo, case when i = max(i) over () then 2.0 else hi end as hi from b),
+n as (select sum(need)::bigint as n from q),
+points as (select x as slot, ((x + 0.5) * 0.6180339887498949::double) % 1.0::double as u from (select unnest(range(n)) as x from n)),
+drawn as (select i, need, slot, row_number() over (partition by i order by slot) - 1 as block from points join r on u >= lo and u < hi),
+late as (select i, unnest(range(had, need)) as block from (select q.i, q.need, coalesce(max(block) + 1, 0) as had from q left join drawn using (i) group by q.i, q.need)),
+slots as materialized (select i, block, slot from drawn where block < need
+  union all select i, block, n + row_number() over (order by i, block) - 1 from late, n),
+p as materialized (select rid, doc_id, size, source_size::bigint as source_size, target, quota, i,
+  coalesce(sum(size) over (partition by d.source order by h, doc_id, rid rows between unbounded preceding and 1 preceding), 0)::bigint as pos
+  from d join q on d.source is not distinct from q.source),
+e as (select rid, i, k * source_size + pos as lo, least(k * source_size + pos + size, quota) as hi from p, range(3) as k(k)),
+x as (select rid, i, lo, hi, unnest(generate_series(lo // 4096, (hi - 1) // 4096)) as block from e where lo < hi),
+y as (select rid, sum(least(hi, (block + 1) * 4096) - greatest(lo, block * 4096))::bigint as taken, min(slot)::bigint as first_slot, count(*) as n_slots
+  from x join slots using (i, block) group by rid)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, first_slot, coalesce(n_slots, 0)::bigint as n_slots from p left join y using (rid)
 """
 
 SQL["op4_secret_scan"] = r"""

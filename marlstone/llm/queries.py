@@ -13,8 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mix of all documents, sources weighing 5, 2, 1, repeating."""
-    return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Mix of all documents, sources weighing 5, 2, 1, repeating, and the slots of its schedule."""
+    return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
 
 
 def op2_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
