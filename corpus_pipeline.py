@@ -1,12 +1,15 @@
 """A corpus pipeline of five stages, each one operator of ``marlstone.llm`` over all that the stage before kept.
 
 Every stage is written as Parquet and read again as the next one's documents, so a lost executor costs one stage at most.
+What the stages write on the way is deleted at the end of a ``marlstone.plans.storage.scope()`` around ``run``.
+
+Null or empty texts, ties, repeated rows, empty tables and clashing columns are handled as each stage's operator states;
+all columns of the documents, also those that no stage knows, go through all stages but the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, cotraining, jaccard, mixing, secrets
 from marlstone.plans.storage import cut
@@ -18,12 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest doc_id. Documents without a doc_id stay."""
-    groups = jaccard.jaccard_components(docs)
-    stay = groups.filter("component_id = doc_id").select(F.col("doc_id").alias("_stays")).distinct()
-    fp = F.xxhash64(F.coalesce("text", F.lit("")))
-    own = docs.join(stay, docs["doc_id"] == stay["_stays"], "left").filter("_stays is not null or doc_id is null")
-    return own.withColumn("_fp", fp).dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+    """One document of each near-duplicate group: that of the smallest doc_id, or any one if none has a doc_id."""
+    return jaccard.representatives(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them."""
+    """The documents that the mix takes, as often as it takes them, in the order of its schedule."""
     return mixing.mixed_documents(docs)
 
 
