@@ -69,8 +69,8 @@ pos as (select *, (sum(length(gap) + length(m)) over (partition by rid, k order
 ok as (select rid, k, kind, stop - length(m) as start, stop from pos where case k
   when 0 then length(regexp_extract(m, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 6
   when 3 then length(m) = 40 and regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]') and not suffix(m, '=') else true end),
-f as (select * from ok a where k < 3 or (exists (select 1 from ok b where b.rid = a.rid and b.k = 1 and b.stop >= a.start - 500 and b.start <= a.stop + 500)
-  and (k = 3 or exists (select 1 from ok b where b.rid = a.rid and b.k in (0, 2, 3) and b.stop >= a.start - 500 and b.start <= a.stop + 500))))
+near as materialized (select *, k < 3 or exists (select 1 from ok b where b.rid = a.rid and b.k = 1 and b.stop >= a.start - 500 and b.start <= a.stop + 500) as linked from ok a),
+f as (select * from near a where linked and (k < 4 or exists (select 1 from near b where b.rid = a.rid and b.k in (0, 2, 3) and b.linked and b.stop >= a.start - 500 and b.start <= a.stop + 500)))
 select t.doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
   sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, k, stop) filter (k < 3), '')) as base_sha256,
   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, k, stop), '') as spans

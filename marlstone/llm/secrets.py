@@ -2,15 +2,18 @@
 
 Strong kinds (assign, access, hex) stand by themselves. Weak kinds are common in clean text and are reported only if
 complementary parts stand within ``SCOPE`` characters in the same document: a 40-character key beside an access
-identifier, an endpoint beside both an access identifier and a secret of any kind.
+identifier, an endpoint beside both an access identifier and a reported secret (assign, hex, or a key so linked).
 
+Nothing is reported where no strong kind stands, so texts without any of their beginnings are not searched further.
 Spans come from what a pattern leaves between its matches: the running sum of gap and match lengths, in code points.
 The interval join is a sweep: spans of a document in order of start carry the furthest end of each complementary part
 so far and the nearest start of one to come, so no pairs are made and the work is n log n in a document's spans.
+Keys are linked before endpoints, whose evidence they are.
 
 * null text: as empty text, no spans; very long text: its spans become rows, nothing grows with their square;
 * ties: spans by start, then by kind as listed, then by end; repeated rows: each row is scanned alone;
-* empty table: empty result; extra columns: only id and text are read, so clashing names do not matter.
+* null id: scanned as any other; empty table: empty result;
+* extra columns: only id and text are read (``redacted`` hands on the rest), so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.plans.rows import col, packed, unpacked
+
 SCOPE = 500
 
 
@@ -47,6 +52,17 @@ KINDS = (
     Kind("endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?"),
 )
 STRONG = 3
+#: What a match of a strong kind holds, in lower case; hex has a pattern of its own.
+BEGINNINGS = ("password", "passwd", "secret", "token", "apikey", "api_key", "akia")
+
+
+def worth_searching(text: Column) -> Column:
+    """Whether a strong kind may stand in the text; tested by plain search, which is far cheaper than the patterns."""
+    low = F.lower(text)
+    out = F.rlike(text, F.lit("[0-9a-f]{24}"))
+    for b in BEGINNINGS:
+        out = F.contains(low, F.lit(b)) | out
+    return F.coalesce(out, F.lit(False))
 
 
 def _matches(text: Column, k: int, kind: Kind) -> Column:
@@ -65,12 +81,12 @@ def _matches(text: Column, k: int, kind: Kind) -> Column:
 
 def _found(text: Column) -> Column:
     none = F.array().cast("array<struct<k:int,i:int,gap:int,len:int,ok:boolean>>")
-    return F.concat(*[F.coalesce(_matches(text, k, kind), none) for k, kind in enumerate(KINDS)])
+    return F.when(worth_searching(text), F.concat(*[F.coalesce(_matches(text, k, kind), none) for k, kind in enumerate(KINDS)]))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """doc_id, row (a number of the row), k, kind, start, end of all reported spans; one row of nulls for a document without."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    t = docs.select(col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     x = t.select("doc_id", "row", F.explode_outer(_found(F.col("text"))).alias("f")).select("doc_id", "row", "f.*")
     row = ["doc_id", "row"]
     upto = W.partitionBy(*row, "k").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
@@ -82,8 +98,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope
     def near(part: Column) -> Column:
         return (F.coalesce(F.max(F.when(part, F.col("end"))).over(past) >= F.col("start") - scope, F.lit(False))) | (F.coalesce(F.min(F.when(part, F.col("start"))).over(ahead) <= F.col("end") + scope, F.lit(False)))
 
-    access, secret = F.col("k") == 1, F.col("k").isin(0, 2, 3)
-    x = x.withColumn("by_access", near(access)).withColumn("by_secret", near(secret))
+    x = x.withColumn("by_access", near(F.col("k") == 1))
+    x = x.withColumn("by_secret", near(F.col("k").isin(0, 2) | ((F.col("k") == 3) & F.col("by_access"))))
     linked = (F.col("k") < STRONG) | ((F.col("k") == 3) & F.col("by_access")) | ((F.col("k") == 4) & F.col("by_access") & F.col("by_secret"))
     names = F.array(*[F.lit(k.name) for k in KINDS])
     out = {c: F.when(F.col("ok") & linked, F.col(c)).alias(c) for c in ("k", "start", "end")}
@@ -111,20 +127,23 @@ def digest(docs: DataFrame, **options) -> DataFrame:
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with the text of each reported span replaced by its kind in brackets (overlapping spans: one mark).
 
-    Only documents with spans are joined and rewritten; rows are matched by id and text fingerprint.
+    Only rows in which a secret may stand leave their place; the others pass as they are. Rows are matched by id and
+    text fingerprint. A column ``n_chars`` follows the text.
     """
-    fp = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.select(F.struct(F.col(id_col).alias("id"), fp.alias("fp")).alias("key"), F.col(text_col).alias("text"))
-    f = found(marked, id_col="key", text_col="text").filter(F.size("found") > 0).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.fp").alias("_fp"), F.col("found").alias("_found")).dropDuplicates(["_id", "_fp"])
-    own = docs.withColumn("_own", fp)
-    own = own.join(f, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left")
+    text, columns = F.coalesce(col(text_col), F.lit("")), docs.columns
+    rest, some = docs.filter(~worth_searching(text)), docs.filter(worth_searching(text))
+    keyed = some.select(packed(docs), col(text_col).alias("text"), col(id_col).isNull().alias("no_id"), F.coalesce(col(id_col).cast("string"), F.lit("")).alias("id"), F.xxhash64(text).alias("fp"))
+    key = ["no_id", "id", "fp"]
+    f = found(keyed.select(F.struct(*key).alias("key"), "text"), id_col="key").filter(F.size("found") > 0)
+    f = f.groupBy("doc_id").agg(F.first("found").alias("found")).select("doc_id.*", "found")
+    x = keyed.join(f, key, "left")
     # Pieces: the text up to each span from the furthest end before it, and the span's mark unless it overlaps.
-    step = """aggregate(_found, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> named_struct(
+    step = """aggregate(found, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> named_struct(
         'at', greatest(a.at, x.end),
-        'out', if(x.start < a.at, a.out, concat(a.out, array(substring(_text, a.at + 1, x.start - a.at), concat('[', x.kind, ']'))))),
-        a -> concat(array_join(a.out, ''), substring(_text, a.at + 1)))"""
-    text = F.when(F.col("_found").isNotNull(), F.expr(step)).otherwise(F.col(text_col))
-    out = own.withColumn("_text", F.col(text_col)).withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        'out', if(x.start < a.at, a.out, concat(a.out, array(substring(text, a.at + 1, x.start - a.at), concat('[', x.kind, ']'))))),
+        a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))"""
+    x = x.withColumn("text", F.when(F.col("found").isNotNull(), F.expr(step)).otherwise(F.col("text")))
+    new = {text_col: F.col("text")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(F.col("found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars"))
+    return unpacked(x, columns, **new).unionByName(rest)
