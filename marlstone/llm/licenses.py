@@ -1,34 +1,41 @@
 """License scan: exact containment join of text blocks with license templates, in DataFrame functions only.
 
-A block (a line, or a paragraph of several lines: notices are wrapped) matches a template T if at least ``THETA`` of T's distinct words
-stand in it. Words are ordered by their frequency in all texts, rarest first. Then
-
-* prefix filter: a matching block holds one of the first |T| - need + 1 words of T, need = ceil(THETA |T|);
-* length filter: it has at least ``need`` distinct words;
-* positional filter: if T's word j is the block's first and stands i-th among the block's template words, at most
-  min(|T| - j, words from i on) can be shared;
-
-and what is left is counted exactly. The templates are a parameter of bounded size (``MAX_TEMPLATES``), which bounds
-the index that is broadcast and the word counts that come to the driver.
-
-* null text: as empty text: no words, no labels, score 0; very long text: its blocks become rows of their own;
-* ties: labels are sets, the score is a maximum; repeated rows: each row is scanned alone;
-* empty table: empty result; extra columns: only id and text are read, so clashing names do not matter.
+A text block is any run of ``SPREAD`` times as many words as a template has, over line breaks or not: notices are wrapped
+and interspersed. It matches a template T if at least ``THETA`` of T's distinct words stand in it. Words are ordered by
+the number of texts that hold them, rarest first. Then, with need = ceil(THETA |T|),
+
+* prefix filter: a text with a match holds one of the first |T| - need + 1 words of T;
+* length filter: it holds at least ``need`` template words;
+* positional filter: if T's word j is the text's i-th template word, at most min(|T| - j, words from i on) can be shared;
+* and what is left is counted exactly, block by block: of all blocks that begin with a word of T, the most shared words.
+
+Each text is read once: its template words and their places, a small table, serve the counts and the join, and all that
+belongs to a row is found within the row. The templates are a parameter of bounded size (``MAX_TEMPLATES``), which bounds
+the index that the plan holds and the word counts that come to the driver.
+
+* null text: as empty text: no words, no labels, score 0; very long text: linear in its template words;
+* ties: labels are sets, the score is a maximum, of equal blocks the first one counts; repeated rows: each is scanned alone;
+* null id: scanned as any other; empty table: empty result; extra columns: only id and text are read, so clashing names
+  do not matter.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+from marlstone.plans.rows import col
+from marlstone.plans.storage import cut
+
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 PHRASES = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 THETA = 0.9
+SPREAD = 2  #: words of a block for each word of a template
 MAX_TEMPLATES = 2000
-LONG = 25  #: words from which license_oracle looks for a template in paragraphs too; scan does so for all
 
 #: Fixed values: (label, wording) of common notices and license texts.
 TEMPLATES = (
@@ -55,23 +62,13 @@ TEMPLATES = (
 
 
 def template_words(text: str) -> tuple[str, ...]:
-    return tuple(dict.fromkeys(re.findall("[a-z0-9\u0080-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))))
-
+    """All words of a template, repeats included."""
+    return tuple(re.findall("[a-z0-9\u0080-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)))
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
-
-def word_counts(docs: DataFrame, wanted: set[str], text_col: str = "text") -> dict[str, int]:
-    """How often each wanted word stands in all texts; at most len(wanted) rows come to the driver."""
-    w = docs.select(F.explode(_words(F.col(text_col))).alias("w")).select(F.lower("w").alias("w")).filter(F.col("w").isin(sorted(wanted)))
-    return {r["w"]: r["n"] for r in w.groupBy("w").agg(F.count("*").alias("n")).collect()}
-
-
-def _places(label: str, phrase: tuple[str, ...]) -> Column:
-    """Array of (label, at): places in ``lower`` (null: none) where the phrase's words stand consecutively."""
-    starts = F.transform("lower", lambda _, i: F.struct(i.alias("i"), _all(F.get("lower", i + k).eqNullSafe(p) for k, p in enumerate(phrase)).alias("ok")))
-    return F.transform(F.filter(starts, lambda x: x["ok"]), lambda x: F.struct(F.lit(label).alias("label"), x["i"].cast("long").alias("at")))
+def _lowered(text: Column) -> Column:
+    """Lower case as far as the words of templates go: the Kelvin sign is the one other character that becomes a-z."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u212b")))
 
 
 def _all(conditions) -> Column:
@@ -81,59 +78,73 @@ def _all(conditions) -> Column:
     return out
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _places(label: str, phrase: tuple[str, ...]) -> Column:
+    """Array of (label, at): places in ``hits`` (null: none) where the phrase's words stand consecutively."""
+
+    def there(h, k):
+        return _all([F.get("hits", k + m)["w"].eqNullSafe(p) & F.get("hits", k + m)["at"].eqNullSafe(h["at"] + m) for m, p in enumerate(phrase)])
+
+    starts = F.transform("hits", lambda h, k: F.struct(h["at"].alias("at"), there(h, k).alias("ok")))
+    return F.transform(F.filter(starts, lambda x: x["ok"]), lambda x: F.struct(F.lit(label).alias("label"), x["at"].cast("long").alias("at")))
+
+
+def _constant(value, kind: str) -> Column:
+    """A literal of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, theta: float = THETA, spread: int = SPREAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row, and ``matches``.
 
-    ``matches``: (label, containment, block) of each matching block.
+    ``matches``: (label, containment, at, n) of each matching template: the block of n words from word ``at`` on.
     """
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates; scan larger sets in parts")
-    sets = [(label, template_words(text)) for label, text in templates]
-    counts = word_counts(docs, {w for _, ws in sets for w in ws}, text_col)
-    ranks = {w: i for i, w in enumerate(sorted({w for _, ws in sets for w in ws}, key=lambda w: (counts.get(w, 0), w)))}
-    index, prefixes = [], set()
-    for t, (label, ws) in enumerate(sets):
+    sets = [(label, list(dict.fromkeys(ws)), spread * len(ws)) for label, ws in ((label, template_words(text)) for label, text in templates) if ws]
+    vocabulary = sorted({w for _, ws, _ in sets for w in ws} | {w for _, p in PHRASES for w in p})
+    words = F.regexp_extract_all(_lowered(col(text_col)), F.lit(WORD), F.lit(0))
+    d = docs.select(col(id_col).alias("doc_id"), words.alias("words"))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: x["w"].isin(vocabulary))
+    d = cut(d.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits")), "license-words")
+    held = F.array_distinct(F.transform("hits", lambda h: h["w"]))
+    # At most len(vocabulary) rows come to the driver.
+    counts = {r["w"]: r["n"] for r in d.select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    ranked = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+    rank = {w: i for i, w in enumerate(ranked)}
+    index: dict[str, list[dict]] = {}
+    for t, (_, ws, _) in enumerate(sets):
         need = math.ceil(theta * len(ws) - 1e-9)
-        ordered = sorted(ws, key=ranks.__getitem__)
-        for j, w in enumerate(ordered[: len(ws) - need + 1]):
-            index.append((t, label, w, j, need, ordered))
-            prefixes.add(w)
-    spark = docs.sparkSession
-    index_rows = spark.createDataFrame(index, "t int, label string, w string, j int, need int, words array<string>")
-
-    def has(text: Column) -> Column:
-        if not prefixes:
-            return F.lit(False)
-        return F.rlike(text, F.lit("(?<![a-zA-Z0-9\\x{80}-\\x{10FFFF}])(?i:" + "|".join(sorted(map(re.escape, prefixes))) + ")(?![a-zA-Z0-9\\x{80}-\\x{10FFFF}])"))
-
-    d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("words", _words(F.col("text")))
-    phrase = F.rlike("text", F.lit("(?i)license"))
-    d = d.withColumn("lower", F.when(phrase, F.transform("words", F.lower)))
-    lines = F.filter(F.split("text", "\n"), has)
-    paragraphs = F.filter(F.split("text", "\n[ \t\r]*\n"), lambda b: F.contains(b, F.lit("\n")) & has(b))  # one of a single line is that line
-    blocks = F.when(has(F.col("text")), F.concat(lines, paragraphs))
-    d = d.select(
-        "doc_id", "row", F.size("words").cast("long").alias("n_words"), F.concat(*[_places(*p) for p in PHRASES]).alias("base"),
-        blocks.alias("blocks"),
-    )
+        for j, w in enumerate(sorted(ws, key=rank.__getitem__)[: len(ws) - need + 1]):
+            index.setdefault(w, []).append({"t": t, "most": len(ws) - j, "need": need})
+    known = [{"label": label, "words": ws, "need": math.ceil(theta * len(ws) - 1e-9), "n": n} for label, ws, n in sets]
+    by_word = _constant(index, "map<string,array<struct<t:int,most:int,need:int>>>")
+    by_number = _constant(known, "array<struct<label:string,words:array<string>,need:int,n:int>>")
+    d = d.withColumn("own", F.array_intersect(F.array(*[F.lit(w) for w in ranked]), held))  # rarest first
+    first = F.filter(F.transform("own", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(sorted(index)))
+    n_own = F.size("own")
+    of_word = lambda x: F.filter(F.element_at(by_word, x["w"]), lambda e: F.least(e["most"], n_own - x["i"]) >= e["need"])
+    possible = F.array_distinct(F.flatten(F.transform(first, lambda x: F.transform(of_word(x), lambda e: e["t"]))))
+    possible = F.filter(F.transform(possible, lambda t: F.get(by_number, t)), lambda t: F.size(F.array_intersect(t["words"], F.col("own"))) >= t["need"])
+    d = d.withColumn("possible", F.when(F.exists("own", lambda w: w.isin(sorted(index))), possible))
+    mine = lambda t: F.filter("hits", lambda h: F.array_contains(t["words"], h["w"]))
+
+    def shared(x):
+        """For each of the template's words in the text, how many of them a block from there on holds."""
+        after = lambda h, k: F.filter(F.slice(x["mine"], k + 1, x["t"]["n"]), lambda g: g["at"] < h["at"] + x["t"]["n"])
+        return F.transform(x["mine"], lambda h, k: F.struct(F.size(F.array_distinct(F.transform(after(h, k), lambda g: g["w"]))).alias("n"), (-h["at"]).alias("at")))
+
+    best = F.transform(F.transform("possible", lambda t: F.struct(t.alias("t"), mine(t).alias("mine"))), lambda x: F.struct(x["t"].alias("t"), F.array_max(shared(x)).alias("most")))
+    match = lambda x: F.struct(x["t"]["label"].alias("label"), (x["most"]["n"] / F.size(x["t"]["words"])).alias("containment"), (-x["most"]["at"]).alias("at"), x["t"]["n"].alias("n"))
+    d = d.withColumn("best", best).withColumn("matches", F.transform(F.filter("best", lambda x: x["most"]["n"] >= x["t"]["need"]), match))
+    d = d.withColumn("base", F.when(F.array_contains("own", "license"), F.concat(*[_places(*p) for p in PHRASES])))
     at = F.transform("base", lambda x: x["at"])
-    d = d.select("doc_id", "row", "n_words", F.coalesce(F.size(F.col("base")), F.lit(0)).alias("nb"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), F.coalesce(F.array_distinct(F.transform("base", lambda x: x["label"])), F.array().cast("array<string>")).alias("bl"), "blocks")
-    d = d.withColumn("nb", F.greatest("nb", F.lit(0)).cast("long"))
-    x = d.withColumn("b", F.explode_outer("blocks")).drop("blocks")
-    x = x.withColumn("set", F.array_distinct(F.transform(_words(F.col("b")), F.lower)))
-    vocabulary = F.array(*[F.lit(w) for w in ranks])
-    x = x.withColumn("own", F.array_intersect(vocabulary, "set")).withColumn("len", F.size("set"))  # the block's template words, rarest first
-    x = x.withColumn("p", F.explode_outer(F.transform("own", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))).withColumn("w", F.col("p.w"))
-    hit = x.join(F.broadcast(index_rows), "w", "left")
-    possible = (F.col("len") >= F.col("need")) & (F.least(F.size("words") - F.col("j"), F.size("own") - F.col("p.i")) >= F.col("need"))
-    shared = F.when(F.col("need").isNotNull() & possible, F.size(F.array_intersect("words", "own")))
-    hit = hit.withColumn("shared", shared).withColumn("m", F.when(F.col("shared") >= F.col("need"), F.struct(F.col("label"), (F.col("shared") / F.size("words")).alias("containment"), F.col("b").alias("block"))))
-    g = hit.groupBy("doc_id", "row", "n_words", "nb", "first_word", "last_word", "bl").agg(F.collect_set("m").alias("matches"))
-    found = F.transform("matches", lambda m: m["label"])
+    none = F.array().cast("array<string>")
+    bl = F.coalesce(F.array_distinct(F.transform("base", lambda x: x["label"])), none)
+    found = F.coalesce(F.transform("matches", lambda m: m["label"]), none)
+    d = d.withColumn("bl", bl).withColumn("found", found)
     score = F.when(F.size("bl") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)))
     joined = lambda a: F.array_join(F.sort_array(a), ",")
-    return g.select(
-        "doc_id", "n_words", F.col("nb").alias("n_base"), "first_word", "last_word", joined(F.col("bl")).alias("base_labels"),
-        joined(F.array_union("bl", found)).alias("labels"), score.alias("score"), "matches",
+    return d.select(
+        "doc_id", "n_words", F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        joined(F.col("bl")).alias("base_labels"), joined(F.array_union("bl", "found")).alias("labels"), score.alias("score"), "matches",
     )

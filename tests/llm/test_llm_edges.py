@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import public_tokenizers
@@ -150,7 +151,43 @@ def test_licenses(docs, spark):
 def test_wrapped_license_text(spark):
     text = "\n".join(licenses.TEMPLATES[3][1].split(" "))
     r = licenses.scan(spark.createDataFrame([(1, f"intro\n\n{text}\n\nmore")], "doc_id int, text string")).first()
-    assert r["labels"] == "mit" and r["matches"][0]["block"] == text
+    assert r["labels"] == "mit" and [(m["at"], m["containment"]) for m in r["matches"]] == [(1, 1.0)]
+
+
+def test_license_blocks_cross_lines_and_are_bounded(spark):
+    words = [f"w{i}" for i in range(5000)]
+    for k, w in enumerate("licensed under cc by nc 4 0".split()):
+        words[k * 700] = w
+    near = "x licensed y under z cc by - nc ... 4\n\n0"
+    t = ["licensed under the GNU\nAffero General Public License", " ".join(words), near, "\u212anow LICENSE mIt-License \u0130 mit", None]
+    got = [(r["labels"], r["score"], r["n_words"], r["first_word"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(t)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got[0][:2] == ("agpl,gpl", 1.0) and got[1] == ("", 0.0, 5000, None) and got[2][:2] == ("cc-by-nc", 1.0) and got[3] == ("mit", 1.0, 6, 2) and got[4] == ("", 0.0, 0, None)
+
+
+def plain_containment(text, template, theta=licenses.THETA):
+    """The largest share of the template's words in any block, by counting every block."""
+    w, ws = re.findall("[a-z0-9]+", text.lower()), licenses.template_words(template)
+    n, own = licenses.SPREAD * len(ws), set(ws)
+    most = max((len(own & set(w[i : i + n])) for i in range(len(w))), default=0)
+    return most / len(own) if most >= math.ceil(theta * len(own) - 1e-9) else 0.0
+
+
+def test_licenses_by_counting_blocks(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in licenses.template_words(t)}) + ["x"] * 30
+    texts = []
+    for k in range(150):
+        w = list(licenses.template_words(licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1]))
+        for _ in range(int(rng.integers(0, 2 * len(w)))):
+            w.insert(int(rng.integers(len(w) + 1)), str(rng.choice(vocabulary)))
+        for _ in range(int(rng.integers(0, 3))):
+            w.pop(int(rng.integers(len(w))))
+        texts.append("\n".join(w))
+    got = {r["doc_id"]: (set(filter(None, r["labels"].split(","))) - set(filter(None, r["base_labels"].split(","))), r["base_labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    for k, t in enumerate(texts):
+        by = [(label, plain_containment(t, x)) for label, x in licenses.TEMPLATES]
+        base = set(filter(None, got[k][1].split(",")))
+        assert got[k][0] == {label for label, c in by if c} - base and got[k][2] == (1.0 if base else max(c for _, c in by))
 
 
 def test_every_template_wrapped(spark):
