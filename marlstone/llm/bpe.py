@@ -3,7 +3,10 @@
 ``MergeReplay`` holds a block of distinct pre-tokens as one chain of symbols and an inverted index from mergeable
 pair to the positions where it stands. Merges are applied over the whole block in rank order; each one touches only
 its two neighbours, whose new pairs enter the index. Words never influence each other, so replaying the corpus block
-by block gives the ids that one replay over all words would give, and no shuffle is needed.
+by block gives the ids that one replay over all words would give, and no shuffle is needed. The other way, one replay
+over the corpus's distinct words and a join of their ids back to each text, shuffles every occurrence of every word with
+its place, 20 bytes or more for the 4 bytes of text that a word has on the check tables (27 million words in 0.1 GB),
+and sorts them, to save encoding words that a task has met before, which its cache of ``KNOWN`` words saves already.
 
 ``encode`` adds to any table with a text column: ``ids`` and ``decoded`` digests or the ids themselves.
 
@@ -26,9 +29,12 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.batches import slices
+from marlstone.plans.rows import col
+
 RUN = 200_000  #: pre-tokens of a text that are held at once
 BLOCK = 4_000_000  #: characters of text whose new words are replayed together
 KNOWN = 300_000  #: words whose ids a task remembers
@@ -243,18 +249,11 @@ def digests(text_runs: Iterator[list[str]], by_decimal: dict[str, bytes]) -> tup
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes, so that long rows do not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of each row; decoding reads the ids, not the text."""
     spark = docs.sparkSession
-    bound_batches(spark)
     file = spark.sparkContext.broadcast(load_file(ranks_path))
-    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType
 
     def run(batches):
@@ -262,7 +261,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         cache = WordCache(replay, lambda ids: ",".join(map(str, ids)))
         by_decimal = {str(i): b for i, b in replay.vocab.items()}
         compiled = regex.compile(pattern)
-        for batch in batches:
+        for batch in slices(batches):
             got = [digests(x, by_decimal) for x in encoded(cache, compiled, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())],
@@ -275,14 +274,13 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``ids array<int>`` of each row."""
     spark = docs.sparkSession
-    bound_batches(spark)
     file = spark.sparkContext.broadcast(load_file(ranks_path))
-    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         cache = WordCache(MergeReplay(read_ranks(file.value)), lambda ids: ids)
         compiled = regex.compile(pattern)
-        for batch in batches:
+        for batch in slices(batches):
             got = [list(chain.from_iterable(chain.from_iterable(x))) for x in encoded(cache, compiled, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -292,13 +290,12 @@ def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 def decode_ids(encoded_rows: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and the text that ``ids`` stand for (bytes that are no UTF-8 become U+FFFD); null ids: empty text."""
     spark = encoded_rows.sparkSession
-    bound_batches(spark)
     file = spark.sparkContext.broadcast(load_file(ranks_path))
-    src = encoded_rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+    src = encoded_rows.select(col(id_col).alias("doc_id"), col(ids_col).alias("ids"))
 
     def run(batches):
         vocab = {i: b for b, i in read_ranks(file.value).items()}
-        for batch in batches:
+        for batch in slices(batches):
             texts = [b"".join(map(vocab.__getitem__, ids or [])).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

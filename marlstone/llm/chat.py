@@ -3,11 +3,15 @@
 A state is a role and whether the line begins or continues a turn. A line is seen as the role that its speaker marker
 names (or none, or an unknown one), whether a blank line stands before it, whether it ends in a question mark, and a
 class of its length. Transition and emission probabilities are counted, with add-one smoothing, on a bounded sample of
-labelled conversations (``SAMPLE``, by hash of the id); every transcript is decoded by Viterbi over all its lines.
+labelled conversations (``SAMPLE``, by hash of id and text), where they lie: only counts come to the driver. Every
+transcript is decoded by Viterbi over all its lines.
 
 * null or empty transcript: no turns, empty rendering; very long transcript: linear in its lines;
-* ties: the state listed first; repeated rows: each is parsed; null turns or texts of a conversation: its last turns,
-  empty text; unknown roles count as ``other``; empty table: empty result; extra columns: only named ones are read.
+* ties: the state listed first; repeated transcripts: each is parsed;
+* turns of a conversation: in order of ``turn``, null last, then by role and text; equal rows of it count once, other rows
+  of the same turn are turns of their own; null text: a dash; unknown roles count as ``other``;
+* null conv_id: it ties nothing together, so each such row is a conversation of one turn, with a null id;
+* empty table: empty result; extra columns: only the named ones are read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.bpe import bound_batches
+from marlstone.llm.batches import slices
+from marlstone.plans.rows import col
+from marlstone.plans.sampling import hash_filter
 
 ROLES = ("system", "user", "assistant", "other")
 STATES = [(r, begins) for r in range(len(ROLES)) for begins in (True, False)]
@@ -58,6 +64,21 @@ def lines_of(text: str) -> list[tuple[str, bool]]:
     return out
 
 
+SIZES = [len(STATES), len(STATES) ** 2, *(len(STATES) * k for k in SHAPES)]
+
+
+def counted(labelled: list[tuple[tuple[int, int, int, int], int]], into: np.ndarray) -> None:
+    """Add a transcript's (features, state) rows to counts of starts, steps and each feature's values, laid end to end."""
+    n, last = len(STATES), None
+    for features, s in labelled:
+        into[s if last is None else n + last * n + s] += 1
+        at = n + n * n
+        for k, f in zip(SHAPES, features, strict=True):
+            into[at + s * k + f] += 1
+            at += n * k
+        last = s
+
+
 class Model:
     """Log probabilities: start (S), step (S, S), and seen (feature -> S x values)."""
 
@@ -65,19 +86,10 @@ class Model:
         self.start, self.step, self.seen = start, step, seen
 
     @classmethod
-    def fit(cls, labelled: list[list[tuple[tuple[int, int, int, int], int]]]) -> Model:
+    def of_counts(cls, counts: np.ndarray) -> Model:
         n = len(STATES)
-        start, step, seen = np.ones(n), np.ones((n, n)), [np.ones((n, k)) for k in SHAPES]
-        for rows in labelled:
-            last = None
-            for features, s in rows:
-                if last is None:
-                    start[s] += 1
-                else:
-                    step[last, s] += 1
-                for table, f in zip(seen, features, strict=True):
-                    table[s, f] += 1
-                last = s
+        start, step, *seen = np.split(counts + 1.0, np.cumsum(SIZES)[:-1])
+        step, seen = step.reshape(n, n), [t.reshape(n, k) for t, k in zip(seen, SHAPES, strict=True)]
         # A turn is begun by some line: its role cannot change on a line that continues.
         for a, (ra, _) in enumerate(STATES):
             for b, (rb, begins) in enumerate(STATES):
@@ -136,13 +148,13 @@ def _turns(value) -> list[tuple[str, str]]:
 
 def transcripts(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns, text): each conversation's turns in order, and the transcript they are written as."""
-    bound_batches(conversations.sparkSession)
-    c = conversations.select("conv_id", F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text").alias("t"))
-    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    g = g.select(F.col("conv_id").cast("long").alias("conv_id"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text").alias("t"))
+    g = c.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("turns"))
+    g = g.unionByName(c.filter("conv_id is null").select("conv_id", F.array("t").alias("turns")))
+    g = g.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, turns = b.column(0).to_pylist(), b.column(1).to_pylist()
             texts = ["\n\n".join(_written(zlib.crc32(str(i).encode()), k, r, t) for k, (r, t) in enumerate(_turns(v))) for i, v in zip(ids, turns, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["conv_id", "turns", "text"])
@@ -162,18 +174,30 @@ def _labels(turns: list[tuple[str, str]], text: str) -> list[tuple[tuple[int, in
 
 
 def fit(written: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model of at most ``sample`` labelled transcripts, taken by hash of the conversation's id."""
-    rows = written.orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample).collect()
-    return Model.fit([x for r in rows if (x := _labels(_turns([t.asDict() for t in r["turns"]]), r["text"]))])
+    """Model of about ``sample`` labelled transcripts (conv_id, turns, text), a written table of ``transcripts``."""
+
+    def run(batches):
+        counts = np.zeros(sum(SIZES), np.int64)
+        for b in slices(batches):
+            for turns, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counted(_labels(_turns(turns), text) or [], counts)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["at", "n"])
+
+    some = hash_filter(written, sample, ["conv_id", "text"]).select("turns", "text")
+    counts = np.zeros(sum(SIZES))
+    for r in some.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+    return Model.of_counts(counts)
 
 
 def format_transcripts(rows: DataFrame, model: Model, id_col: str = "conv_id", text_col: str = "text") -> DataFrame:
     """id, n_turns, roles (comma-joined), text (canonical) and its sha256, of each transcript."""
-    src = rows.select(F.col(id_col).cast("long").alias("conv_id"), F.col(text_col).alias("text"))
+    src = rows.select(col(id_col).cast("long").alias("conv_id"), col(text_col).alias("text"))
     known = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             parsed = [parse(known.value, t) for t in b.column(1).to_pylist()]
             texts = [render(p) for p in parsed]
             yield pa.RecordBatch.from_arrays(

@@ -1,20 +1,21 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search, for the largest inner product.
 
-Graph. Equal vectors count once (class representative: smallest id). Vectors go to the cells of at most ``PIVOTS``
-pivots, drawn by hash (their number is the only thing fitted on a sample; every vector is indexed), and cells to blocks
-of about ``BLOCK``. Blocks give each vector its first ``K`` neighbours; NN-descent then joins, at every vector, its
-neighbours and reverse neighbours with each other (neighbours of neighbours), and keeps the best K, until less than
-``SETTLED`` of all links change; no number of rounds ends it before. Joins ship each vector once per block of vectors that needs it. Reverse lists of much-linked vectors are thinned
-by hash to about K; that is the method's own sampling.
+Graph. Equal vectors count once (class representative: smallest id). Vectors go to the cells of pivots, the square root
+of their number (at most ``PIVOTS``), drawn by hash (which is all that is fitted on a sample; every vector is indexed),
+and cells to blocks of about ``BLOCK``. Blocks give each vector its first ``K`` neighbours; NN-descent then joins, at every
+vector, its neighbours and reverse neighbours with each other (neighbours of neighbours), and keeps the best K, until less
+than ``SETTLED`` of all links change; no number of rounds ends it before. Joins ship each vector once per block of vectors
+that needs it. Reverse lists of much-linked vectors are thinned by hash to about K; that is the method's own sampling.
 
 Search. Queries start from their own lists and expand the ``WIDTH`` best unexpanded vectors of a pool of ``POOL``, until
 every vector of the pool is expanded; all queries of a block are scored in double precision against everything that the block reaches. Classes
 are expanded at the end: the first k + 1 members of a class are all that can enter a result.
 
 * null vectors, zero vectors, and vectors that hold null or non-finite components take no part, as query or candidate;
-* ties: smaller id first; equal vectors: exact, by classes; fewer candidates than k: all of them;
-* repeated rows: rows with the same id and vector count as one candidate; empty table: empty result;
-* extra columns: only id and vector are read, so clashing names do not matter.
+* vectors of unequal length have no inner product: the most common length takes part (of equally common ones the least);
+* null ids take no part; ties: smaller id first; equal vectors: exact, by classes; fewer candidates than k: all of them;
+* repeated rows: rows with the same id and vector count as one candidate; rows of one id and other vectors as several;
+* empty table: empty result; extra columns: only id and vector are read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.plans.rows import col
+from marlstone.plans.sampling import hash_sample
 from marlstone.plans.storage import Cut, cut
 
 K = 40  #: neighbours of each vector in the graph
-PIVOTS = 1024
+PIVOTS = 65_536
 BLOCK = 512
 SETTLED = 0.02  #: share of changed links below which NN-descent ends
 SENT = 10  #: better neighbours that a block reports for a vector
@@ -48,16 +51,18 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, x) of the vectors that take part; x as doubles."""
-    v = F.transform(F.col(vec_col), lambda c: c.cast("double"))
-    r = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("x")).filter("id is not null and x is not null")
+    v = F.transform(col(vec_col), lambda c: c.cast("double"))
+    r = rows.select(col(id_col).cast("long").alias("id"), v.alias("x")).filter("id is not null and x is not null")
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return r.filter(finite & F.exists("x", lambda c: c != 0)).dropDuplicates(["id", "x"])
+    r = r.filter(finite & F.exists("x", lambda c: c != 0))
+    common = r.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "n").first()
+    return r.filter(F.size("x") == (common["n"] if common else 0)).dropDuplicates(["id", "x"])
 
 
 def _cells(vectors: DataFrame, n: int) -> DataFrame:
     """(cell, rank, id, x): each vector in the cells of its two nearest pivots; rank 0 is its home."""
     n_pivots = 1 if n <= BLOCK else min(PIVOTS, int(math.sqrt(n)))
-    pivots = np.array([r["x"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()], np.float32)
+    pivots = np.array([r["x"] for r in hash_sample(vectors, n_pivots, ["id"], ["id", "x"], n).collect()], np.float32)
     known = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
@@ -79,10 +84,12 @@ def _cells(vectors: DataFrame, n: int) -> DataFrame:
 
 def _blocks(vectors: DataFrame, n: int) -> DataFrame:
     """(block, rank, id, x): cells cut by hash into blocks of about BLOCK. There are at most PIVOTS cells."""
-    cells = cut(_cells(vectors, n), "cells")
-    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    b = cells.join(F.broadcast(parts), "cell")
-    return b.select((F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "rank", "id", "x")
+    cells = Cut(_cells(vectors, n), "cells")
+    parts = cells.df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    b = cells.df.join(F.broadcast(parts), "cell")
+    b = cut(b.select((F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "rank", "id", "x"), "blocks")
+    cells.drop()
+    return b
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -245,7 +252,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_
     classes = cut(valid.groupBy("x").agg(F.min("id").alias("rep")), "vec-classes")
     reps = classes.select(F.col("rep").alias("id"), "x")
     n = reps.count()
-    blocks = cut(_blocks(reps, n), "blocks")
+    blocks = _blocks(reps, n)
     lists = graph(reps, blocks)
     # The first k + 1 members of each class; the limit by rank reaches below the shuffle, so large classes stay small.
     r = F.row_number().over(W.partitionBy("x").orderBy("id"))

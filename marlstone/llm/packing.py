@@ -5,39 +5,71 @@ best fit in order of decreasing length: a segment tree over remaining capacities
 takes a piece. Packing is done over buffers of ``BUFFER`` ids within each task: a buffer leaves at most one row half
 empty, so more would gain nothing, and no document crosses the network.
 
-A packed row has its ids as a little-endian matrix row of ``context`` ids (padded), the cumulative segment lengths,
-and, for each segment, the document, its offset there, and the place where positions restart at 0.
+A packed row has its ids as a matrix row of ``context`` little-endian unsigned integers of ``id_bytes`` bytes (2 for
+vocabularies of up to 65,536 ids, end and pad included, else 4), padded at the end, the cumulative segment lengths, and,
+for each segment, the document, its offset there, and the place where positions restart at 0. An id that the vocabulary
+does not have ends the job with an error.
 
 * null or empty text: the end id alone; very long text: as many pieces as it needs; ties: by order of arrival;
-* repeated rows: each is packed; empty table: empty result; extra columns: only id and text are read.
+* repeated rows: each is packed; null id: packed, with a null id in doc_ids; empty table: empty result;
+* extra columns: only id and text are read, so clashing names do not matter.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.bpe import bound_batches
+from marlstone.llm import bpe
+from marlstone.llm.batches import slices
+from marlstone.plans.rows import col
 
 CONTEXT = 8192
-END = 256  #: id after the 256 byte ids
-PAD = 257
 BUFFER = 16_000_000
 
-SCHEMA = "shard int, row int, n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<bigint>, offsets array<bigint>"
+SCHEMA = "shard int, row int, n_tokens int, id_bytes int, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<bigint>, offsets array<bigint>"
 
 
-def byte_ids(text: str) -> np.ndarray:
-    """UTF-8 bytes as ids, and END."""
-    out = np.empty(len(raw := text.encode("utf-8", "surrogatepass")) + 1, np.uint16)
-    out[:-1] = np.frombuffer(raw, np.uint8)
-    out[-1] = END
-    return out
+class ByteIds:
+    """UTF-8 bytes as ids."""
+
+    size = 256  #: ids below ``size`` are the vocabulary's; the end id is ``size``, the pad id follows it
+
+    def encoder(self) -> Callable[[str], np.ndarray]:
+        """A function from a text to its ids, made in each task."""
+        return lambda text: np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+
+
+class BpeIds:
+    """Ids of a byte-level BPE vocabulary: those of ``bpe.encode_ids``, by the tiktoken library. Texts over ``bpe.RUN``
+    characters take ``bpe``'s own replay, which holds them in runs, and gives the same ids."""
+
+    def __init__(self, ranks_path: str, pattern: str):
+        self.data, self.pattern = bpe.load_file(ranks_path), pattern
+        self.size = 1 + max(bpe.read_ranks(self.data).values())
+
+    def encoder(self) -> Callable[[str], np.ndarray]:
+        ranks = bpe.read_ranks(self.data)
+        library = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        compiled = regex.compile(self.pattern)
+        own = functools.cache(lambda: bpe.WordCache(bpe.MergeReplay(ranks), lambda ids: ids))
+
+        def encode(text: str) -> np.ndarray:
+            if len(text) <= bpe.RUN:
+                return np.array(library.encode_ordinary(text), np.int64)
+            (found,) = bpe.encoded(own(), compiled, [text])
+            return np.concatenate([np.fromiter(chain.from_iterable(run), np.int64) for run in found])
+
+        return encode
 
 
 class Capacities:
@@ -92,28 +124,36 @@ def best_fit_decreasing(lengths: list[int], context: int) -> list[list[int]]:
     return rows
 
 
-def pack(docs: DataFrame, context: int = CONTEXT, encode: Callable[[str], np.ndarray] = byte_ids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packed rows (SCHEMA) of all documents; ``encode`` gives a text's ids as uint16, the end id included."""
-    bound_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def pack(docs: DataFrame, vocabulary=None, context: int = CONTEXT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Packed rows (SCHEMA) of all documents; ``vocabulary`` (default: ByteIds()) has ``size`` and ``encoder()``."""
+    vocabulary = ByteIds() if vocabulary is None else vocabulary
+    size = vocabulary.size
+    width = 2 if size + 2 <= 1 << 16 else 4
+    src = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
-        shard, done = TaskContext.get().partitionId(), 0
+        shard, done, encode = TaskContext.get().partitionId(), 0, vocabulary.encoder()
         pieces: list[tuple[int, int, np.ndarray]] = []
         held = 0
 
+        def ids_of(text: str) -> np.ndarray:
+            ids = encode(text)
+            if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < size:
+                raise ValueError(f"an id beyond the {size} of the vocabulary")
+            return np.append(ids, size).astype(f"<u{width}")
+
         def flush(done):
             rows = best_fit_decreasing([len(p[2]) for p in pieces], context)
             for a in range(0, len(rows), 256):
-                out: dict[str, list] = {k: [] for k in ("shard", "row", "n_tokens", "ids", "cu_seqlens", "resets", "doc_ids", "offsets")}
+                out: dict[str, list] = {k: [] for k in ("shard", "row", "n_tokens", "id_bytes", "ids", "cu_seqlens", "resets", "doc_ids", "offsets")}
                 for k, row in enumerate(rows[a : a + 256], start=done + a):
-                    ids = np.full(context, PAD, "<u2")
+                    ids = np.full(context, size + 1, f"<u{width}")
                     ends = np.cumsum([0] + [len(pieces[i][2]) for i in row])
                     for i, b, e in zip(row, ends, ends[1:], strict=False):
                         ids[b:e] = pieces[i][2]
-                    for name, value in (("shard", shard), ("row", k), ("n_tokens", int(ends[-1])), ("ids", ids.tobytes()), ("cu_seqlens", ends.tolist()), ("resets", ends[:-1].tolist()), ("doc_ids", [pieces[i][0] for i in row]), ("offsets", [pieces[i][1] for i in row])):
+                    for name, value in (("shard", shard), ("row", k), ("n_tokens", int(ends[-1])), ("id_bytes", width), ("ids", ids.tobytes()), ("cu_seqlens", ends.tolist()), ("resets", ends[:-1].tolist()), ("doc_ids", [pieces[i][0] for i in row]), ("offsets", [pieces[i][1] for i in row])):
                         out[name].append(value)
-                types = {"shard": pa.int32(), "row": pa.int32(), "n_tokens": pa.int32(), "ids": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), "resets": pa.list_(pa.int32()), "doc_ids": pa.list_(pa.int64()), "offsets": pa.list_(pa.int64())}
+                types = {"shard": pa.int32(), "row": pa.int32(), "n_tokens": pa.int32(), "id_bytes": pa.int32(), "ids": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), "resets": pa.list_(pa.int32()), "doc_ids": pa.list_(pa.int64()), "offsets": pa.list_(pa.int64())}
                 yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in out.items()], names=list(out))
 
         def count(rows):
@@ -122,9 +162,9 @@ def pack(docs: DataFrame, context: int = CONTEXT, encode: Callable[[str], np.nda
                 yield b
                 done += len(b)
 
-        for batch in batches:
+        for batch in slices(batches):
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text)
+                ids = ids_of(text)
                 for a in range(0, len(ids), context):
                     pieces.append((d, a, ids[a : a + context]))
                 held += len(ids)

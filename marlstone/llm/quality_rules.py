@@ -4,9 +4,11 @@
 named, versioned mask over those bits; ``apply_policy`` turns the ledger into verdicts without touching the texts
 again, and ``ablation`` counts, for each rule of a policy, what it alone decides, by aggregating equal bit sets first.
 
+Windows are told apart by 64 bits of hash: two different windows of one text count as one with a probability near 2^-64.
+
 * null text: no words, all measurements 0 (it fails ``few_words``); empty text: the same;
 * very long text: arrays of its words and windows stay in its row; all steps are linear or n log n;
-* ties and repeated rows: each row is judged alone; empty table: an empty ledger;
+* null id: judged as any other; ties and repeated rows: each row is judged alone; empty table: an empty ledger;
 * extra columns: only id and text are read, so clashing names do not matter.
 """
 
@@ -17,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.plans.rows import col
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 8
@@ -63,7 +67,7 @@ def _length_without(text: Column, pattern: str) -> Column:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the measurements and ``failed_bits`` (one bit per rule of RULES)."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    t = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     t = t.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     t = t.withColumn("windows", F.expr(f"transform(sequence(1, greatest(size(words) - {WINDOW - 1}, 1)), i -> xxhash64(slice(words, i, {WINDOW})))"))
     t = t.withColumn("n_words", F.size("words").cast("long"))

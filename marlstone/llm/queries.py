@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, chat, cotraining, jaccard, licenses, mixing, neighbours, packing, quality_rules, secrets
+from marlstone.plans.storage import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as byte ids, packed into rows of 8192."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    """All documents as ids of the multilingual rank file, packed into rows of 8192."""
+    import public_tokenizers
+
+    vocabulary = packing.BpeIds(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary)
 
 
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts of all conversations, parsed by the line model and rendered canonically."""
-    written = chat.transcripts(_table(spark, sf_dir, "conversations"))
+    written = cut(chat.transcripts(_table(spark, sf_dir, "conversations")), "transcripts")
     return chat.format_transcripts(written, chat.fit(written))
 
 
