@@ -6,7 +6,9 @@ statements of C, which is what these functions look at.
 
 from __future__ import annotations
 
+import contextlib
 import re
+import sys
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -61,6 +63,7 @@ def closing(ts: list[Token]) -> dict[int, int]:
 def definitions(ts: list[Token]) -> list[tuple[int, int, int]]:
     """(name, open brace, close brace) of each function definition at the top level."""
     pairs, out, i = closing(ts), [], 0
+    opening = {b: a for a, b in pairs.items() if ts[a].text == "(" and ts[b].text == ")"}
     while i < len(ts):
         if ts[i].text == "{":
             j = i - 1
@@ -69,7 +72,7 @@ def definitions(ts: list[Token]) -> list[tuple[int, int, int]]:
             if j > 0 and ts[j].kind == "id" and ts[j - 1].text == ")":
                 j -= 1
             if j > 0 and ts[j].text == ")":
-                opens = next((a for a, b in pairs.items() if b == j and ts[a].text == "("), None)
+                opens = opening.get(j)
                 if opens and opens > 0 and ts[opens - 1].kind == "id" and ts[opens - 1].text not in NOT_CALLED:
                     out.append((opens - 1, i, pairs[i]))
             i = pairs[i]
@@ -206,19 +209,29 @@ class Parser:
         return node
 
 
+@contextlib.contextmanager
+def deep(code: str | None):
+    """Room for recursion as deep as the code may be nested."""
+    was = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(was, 2000 + 2 * len(code or "")))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(was)
+
+
 def structure_paths(code: str | None) -> list[str]:
     """Root-to-leaf paths of statement types."""
     out: list[str] = []
-
-    def walk(node: Node, path: list[str]) -> None:
-        path = [*path, node.type]
-        if not node.children:
-            out.append(">".join(path))
-        for c in node.children:
-            walk(c, path)
-
     if code and code.strip():
-        walk(Parser(code).unit(), [])
+        with deep(code):
+            todo = [(Parser(code).unit(), "")]
+        while todo:
+            node, above = todo.pop()
+            path = f"{above}>{node.type}" if above else node.type
+            if not node.children:
+                out.append(path)
+            todo += [(c, path) for c in reversed(node.children)]
     return out
 
 
@@ -253,12 +266,27 @@ def flattened(root: Node) -> list[Flat]:
 
 
 def blocks(code: str | None, name: str) -> list[dict]:
+    """``read_blocks``, or the full_function record of code that cannot be read."""
+    try:
+        with deep(code):
+            return read_blocks(code, name)
+    except (IndexError, KeyError, RecursionError):
+        return full_function(code, name)
+
+
+def full_function(code: str | None, name: str) -> list[dict]:
+    return [{"block_id": name, "type": "full_function", "line_start": None, "line_end": None, "relation": [], "code": code, "block_code": code}]
+
+
+def read_blocks(code: str | None, name: str) -> list[dict]:
     """Block records of a function: type, line range and child blocks of each, the function's own last.
 
     Blocks are control-flow nodes of the first top-level construct; a block whose only child nearly covers it takes
-    over that child's children. Short functions, and those without such nodes, are one full_function record.
+    over that child's children. Numbers fall from their count to 1, top-level block by top-level block, in each by level,
+    in a level from its last node. Short functions, and those without such nodes, are one full_function record; a child
+    that has no number is a KeyError.
     """
-    full = [{"block_id": name, "type": "full_function", "line_start": None, "line_end": None, "relation": [], "code": code, "block_code": code}]
+    full = full_function(code, name)
     if code is None or len(code.split("\n")) < LEAST_LINES:
         return full
     tree = pruned(Parser(code).unit())
@@ -289,8 +317,8 @@ def blocks(code: str | None, name: str) -> list[dict]:
         if (child.rows[0] - node.rows[0]) + (node.rows[1] - child.rows[1]) < LEAST_GAP:
             drop.add(child.id)
             node.children = list(child.children)
-    order = [i for i in sorted(kept) if i not in drop]
-    label = {i: str(k) for k, i in enumerate(order, 1)}
+    order = [i for r in body.children for level in levels(nodes, r) for i in level if i in kept and i not in drop]
+    label = {i: str(len(order) - k) for k, i in enumerate(order)}
     rows = code.split("\n")
     marked: dict[int, list[str]] = {}
     for i in order:
@@ -298,11 +326,20 @@ def blocks(code: str | None, name: str) -> list[dict]:
         marked.setdefault(a, []).append(_marker(label[i], "start"))
         marked.setdefault(min(b, len(rows)), []).insert(0, _marker(label[i], "end"))
     text = "\n".join(x for k in range(len(rows) + 1) for x in [*marked.get(k, []), *rows[k : k + 1]])
-    resolve = lambda cs: [label[c] for c in cs if c in label]
+    resolve = lambda cs: [label[c] for c in cs]
     out = [{"block_id": label[i], "type": kept[i].type, "line_start": kept[i].rows[0], "line_end": kept[i].rows[1], "relation": resolve(kept[i].children), "code": None, "block_code": None} for i in order]
     return [*out, {"block_id": name, "type": top.type, "line_start": None, "line_end": None, "relation": resolve(body.children), "code": code, "block_code": text}]
 
 
+def levels(nodes: list[Flat], root: int) -> list[list[int]]:
+    """Ids of the root's descendants by depth, each level from its last node to its first."""
+    out, level = [], [root]
+    while level:
+        out.append(sorted(level, reverse=True))
+        level = [c for i in level for c in nodes[i].children]
+    return out
+
+
 def _marker(block: str, what: str) -> str:
     return "//" + "=" * 15 + f"block {block} {what}" + "=" * 15
 
@@ -342,30 +379,207 @@ def code_blocks_udf(code: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([blocks(c, n) for c, n in zip(code, name, strict=True)])
 
 
-_BUILTIN = {"v": "void", "i": "int", "c": "char", "b": "bool", "l": "long", "j": "unsigned int", "m": "unsigned long", "d": "double", "f": "float"}
+# Fixed values of the Itanium C++ ABI: builtin types, operators, and the standard library's short names.
+_BUILTIN = {
+    "v": "void", "w": "wchar_t", "b": "bool", "c": "char", "a": "signed char", "h": "unsigned char", "s": "short", "t": "unsigned short", "i": "int", "j": "unsigned int",
+    "l": "long", "m": "unsigned long", "x": "long long", "y": "unsigned long long", "f": "float", "d": "double", "e": "long double", "z": "...",
+}
+_OPERATORS = {
+    "nw": " new", "na": " new[]", "dl": " delete", "da": " delete[]", "ps": "+", "ng": "-", "ad": "&", "de": "*", "co": "~", "pl": "+", "mi": "-", "ml": "*", "dv": "/", "rm": "%",
+    "an": "&", "or": "|", "eo": "^", "aS": "=", "pL": "+=", "mI": "-=", "mL": "*=", "dV": "/=", "rM": "%=", "aN": "&=", "oR": "|=", "eO": "^=", "ls": "<<", "rs": ">>",
+    "lS": "<<=", "rS": ">>=", "eq": "==", "ne": "!=", "lt": "<", "gt": ">", "le": "<=", "ge": ">=", "nt": "!", "aa": "&&", "oo": "||", "pp": "++", "mm": "--", "cm": ",",
+    "pm": "->*", "pt": "->", "cl": "()", "ix": "[]",
+}
+_STANDARD = {"t": "std", "a": "std::allocator", "b": "std::basic_string", "s": "std::string", "i": "std::istream", "o": "std::ostream", "d": "std::iostream"}
+_ORDINAL = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+class Mangled:
+    """Reader of one mangled name: nested and template names, operators, substitutions and the common types."""
+
+    def __init__(self, text: str):
+        self.s, self.i = text, 0
+        self.known: list[str] = []
+        self.args: list[str] = []  #: of the outermost template, for T_ in types that follow
+
+    def ahead(self, n: int = 1) -> str:
+        return self.s[self.i : self.i + n]
+
+    def take(self, word: str) -> bool:
+        if self.s.startswith(word, self.i):
+            self.i += len(word)
+            return True
+        return False
+
+    def ordinal(self) -> int:
+        """A number in base 36 before an underscore: none is 0, 0 is 1, and so on."""
+        at = self.s.index("_", self.i)
+        digits, self.i = self.s[self.i : at], at + 1
+        n = 0
+        for d in digits:
+            n = 36 * n + _ORDINAL.index(d)
+        return n + 1 if digits else 0
+
+    def source_name(self) -> str:
+        m = re.compile(r"\d+").match(self.s, self.i)
+        if not m:
+            raise ValueError(self.s)
+        self.i = m.end() + int(m[0])
+        if self.i > len(self.s):
+            raise ValueError(self.s)
+        return self.s[m.end() : self.i]
+
+    def unqualified(self, above: str) -> str:
+        plain = re.sub(r"<.*", "", above).rsplit("::", 1)[-1]
+        if self.ahead() == "C" and self.ahead(2)[1:] in "123":
+            self.i += 2
+            return plain
+        if self.ahead() == "D" and self.ahead(2)[1:] in "012":
+            self.i += 2
+            return "~" + plain
+        if (op := _OPERATORS.get(self.ahead(2))) and not self.ahead().isdigit():
+            self.i += 2
+            return "operator" + op
+        if self.take("cv"):
+            return "operator " + self.type()
+        self.take("L")
+        return self.source_name()
+
+    def substitution(self) -> str:
+        self.i += 1
+        if self.ahead() in _STANDARD:
+            self.i += 1
+            return _STANDARD[self.s[self.i - 1]]
+        return self.known[self.ordinal()]
+
+    def template_args(self) -> str:
+        self.i += 1
+        args: list[str] = []
+        while not self.take("E"):
+            if self.take("L"):
+                kind = self.type()
+                m = re.compile(r"n?\d+").match(self.s, self.i)
+                value, self.i = m[0].replace("n", "-"), m.end()
+                self.take("E")
+                args.append({"bool": {"0": "false", "1": "true"}.get(value, value), "int": value}.get(kind, f"({kind}){value}"))
+            elif self.take("J"):
+                while not self.take("E"):
+                    args.append(self.type())
+            else:
+                args.append(self.type())
+        self.args = args
+        text = ", ".join(args)
+        return f"<{text} >" if text.endswith(">") else f"<{text}>"
+
+    def name(self) -> tuple[str, bool]:
+        """The name, and whether template arguments end it."""
+        if self.take("N"):
+            while self.ahead() in "KVrRO" and self.ahead():
+                self.i += 1
+            full, templated = "", False
+            while not self.take("E"):
+                if self.ahead() == "I":
+                    full, templated = full + self._spaced(full) + self.template_args(), True
+                    self.known.append(full)
+                    continue
+                if self.ahead() == "S":
+                    at = self.i
+                    full, templated = self.substitution(), False
+                    if self.s[at : self.i] == "St":
+                        full += "::" + self.unqualified(full)
+                        self.known.append(full)
+                    continue
+                if self.ahead() == "T":
+                    full = self.template_param()
+                else:
+                    part = self.unqualified(full)
+                    full = f"{full}::{part}" if full else part
+                templated = False
+                self.known.append(full)
+            if self.known:
+                self.known.pop()  # the whole name is no candidate of its own
+            return full, templated
+        if self.ahead() == "Z":
+            self.i += 1
+            outer, _ = self.name()
+            self.parameters()
+            self.take("E")
+            inner, templated = self.name()
+            return f"{outer}()::{inner}", templated
+        if self.take("St"):
+            full = "std::" + self.unqualified("std")
+        elif self.ahead() == "S":
+            full = self.substitution()
+            return (full + self.template_args(), True) if self.ahead() == "I" else (full, False)
+        else:
+            full = self.unqualified("")
+        if self.ahead() == "I":
+            self.known.append(full)
+            return full + self._spaced(full) + self.template_args(), True
+        return full, False
+
+    @staticmethod
+    def _spaced(name: str) -> str:
+        return " " if name.endswith("<") else ""
+
+    def template_param(self) -> str:
+        self.i += 1
+        return self.args[self.ordinal()]
+
+    def type(self) -> str:
+        c = self.ahead()
+        if c in "PRO" and c:
+            self.i += 1
+            inner = self.type()
+            out = inner + {"P": "*", "R": "&", "O": "&&"}[c]
+        elif c in "KV" and c:
+            self.i += 1
+            inner = self.type()
+            out = f"{inner} {'const' if c == 'K' else 'volatile'}"
+        elif c in _BUILTIN:
+            self.i += 1
+            return _BUILTIN[c]
+        elif c == "T":
+            out = self.template_param()
+        elif c == "S" and self.ahead(2) != "St":
+            out = self.substitution()
+            if self.ahead() != "I":
+                return out
+            out += self.template_args()
+        elif c and (c in "NSZ" or c.isdigit()):
+            out, _ = self.name()
+        else:
+            raise ValueError(self.s)
+        self.known.append(out)
+        return out
+
+    def parameters(self) -> None:
+        while self.i < len(self.s) and self.ahead() != "E":
+            self.type()
+
+    def function(self) -> str:
+        """The name up to its parameters; that of a template begins with the type it returns."""
+        full, templated = self.name()
+        last = re.sub(r"<.*", "", full).rsplit("::", 1)[-1]
+        if not templated or not self.ahead() or last.startswith(("~", "operator ")):
+            return full
+        args = list(self.args)
+        returned = self.type()
+        self.args = args
+        return f"{returned} {full}"
 
 
 def demangle(text: str | None) -> str | None:
-    """The qualified name of the last Itanium-mangled word (nested and plain names, constructors); the text if there is none."""
+    """The last mangled word, up to its parameters; words that cannot be read do not count; the text if there is none."""
     if text is None:
         return None
     found = ""
-    for m in re.finditer(r"_Z\w+", text):
-        s, nested, parts = m.group()[2:], False, []
-        if s[:1] == "N":
-            s, nested = s[1:].lstrip("KVr"), True
-        if s[:2] == "St":
-            s, parts = s[2:], ["std"]
-        while n := re.match(r"(\d+)", s):
-            size = int(n[1])
-            parts.append(s[n.end() : n.end() + size])
-            s = s[n.end() + size :]
-            if not nested:
-                break
-        if nested and parts and s[:2] in ("C1", "C2", "C3", "D0", "D1", "D2"):
-            parts.append(("~" if s[0] == "D" else "") + parts[-1])
-        if parts and all(parts):
-            found = "::".join(parts)
+    for m in re.finditer(r"_Z(\w+)", text):
+        try:
+            with deep(text):
+                found = Mangled(m[1]).function().split("(")[0]
+        except (AttributeError, IndexError, RecursionError, ValueError):
+            continue
     return found or text
 
 

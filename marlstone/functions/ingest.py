@@ -28,11 +28,11 @@ def display_id(name: Column, address: Column, is_external: Column) -> Column:
     return F.when(F.coalesce(is_external, F.lit(False)), name).otherwise(F.coalesce(address, F.concat(F.lit("EXT_"), name)))
 
 
-def renamed_edges(edge: DataFrame, ids: DataFrame) -> DataFrame:
-    """(caller, callee) by display id; ids: (name, id). A name without an id stays."""
-    a, b = (ids.select(F.col("name").alias(f"{c}"), F.col("id").alias(f"{c}_id")) for c in ("caller", "callee"))
-    x = edge.join(a, "caller", "left").join(b, "callee", "left")
-    return x.select(F.coalesce("caller_id", "caller").alias("caller"), F.coalesce("callee_id", "callee").alias("callee"))
+def renamed_edges(edge: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, caller, callee) by display id; ids: (keys, name, id). A name without an id stays."""
+    a, b = (ids.select(*keys, F.col("name").alias(f"{c}"), F.col("id").alias(f"{c}_id")) for c in ("caller", "callee"))
+    x = edge.join(a, [*keys, "caller"], "left").join(b, [*keys, "callee"], "left")
+    return x.select(*keys, F.coalesce("caller_id", "caller").alias("caller"), F.coalesce("callee_id", "callee").alias("callee"))
 
 
 def type_label(name: Column, base: Column) -> Column:
@@ -41,6 +41,20 @@ def type_label(name: Column, base: Column) -> Column:
     return F.concat(F.coalesce(base, plain), F.when(name.contains("*"), " *").otherwise(""))
 
 
+def aggregate_flags(description: Column) -> Column:
+    """(is_enum, is_struct, is_union) from a type's printed description: its third line names a Struct or a Union; an
+    enumeration counts its values."""
+    third = F.coalesce(F.get(F.split(description, "\n", -1), F.lit(2)), F.lit(""))
+    struct = third.contains("Struct")
+    return F.struct(F.coalesce(description.contains("Count"), F.lit(False)).alias("is_enum"), struct.alias("is_struct"), (~struct & third.contains("Union")).alias("is_union"))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below ``root``; a path that is not below it stays."""
+    top = root.rstrip("/") + "/"
+    return F.when(path.startswith(top), F.substring(path, F.lit(len(top) + 1), F.length(path))).otherwise(path)
+
+
 def one_mode(**modes: bool) -> str:
     """The one mode that is set."""
     on = [k for k, v in modes.items() if v]

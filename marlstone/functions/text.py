@@ -5,12 +5,13 @@ All stay inside the JVM. ``(?U)`` gives regex classes their Unicode meaning, ``(
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What the line sanitiser knows by name.
+# What the line sanitiser knows by name or pattern (to SYMBOL_RUN).
 PLACEHOLDERS = (
     r"%[dlu]",
     r"0x[0-9a-fA-F]+",
@@ -55,7 +56,7 @@ SPECIAL = r"\]\[%|/~&@$>+=*;\-<"
 SYMBOL_RUN = r"[/~&@$>+=*\-|%;<]{3,}"
 GIBBERISH = 0.65
 ROOM_FOR_URLS = 100
-COMMENTS = r'(?smd)("(?:\\.|[^"\\])*")|/\*.*?\*/|//.*?$'
+COMMENTS = r'(?smd)("[^"\\]*+(?:\\.[^"\\]*+)*+")|/\*.*?\*/|//.*?$'  # possessive: literals of any length need no stack
 LINE_COMMENTS = r"(?md)//.*$"
 FENCE = "^[`json]+|[`json]+$"
 EDGES = r"^_+|_+$|_{2,}"
@@ -67,7 +68,7 @@ def any_of(*conditions: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def lines(c: Column) -> Column:
@@ -101,7 +102,7 @@ def is_url(c: Column) -> Column:
 
 
 def is_path(c: Column) -> Column:
-    return any_of(*[c.rlike(p) for p in PATHS])
+    return any_of(*[c.rlike(re.sub(r"(/|\\\\)\)([*+])", r"\1)\2+", p)) for p in PATHS])  # possessive: paths of any depth need no stack
 
 
 def quality(c: Column) -> Column:
@@ -237,7 +238,13 @@ def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def sample_sentence(name: Column) -> Column:
+    """The answer as training samples carry it."""
+    return F.concat(F.lit("The predicted function name is: "), name, F.lit(". "))
+
+
 def answer_sentence(name: Column) -> Column:
+    """The answer as chat records carry it."""
     return F.concat(F.lit("The function name is: "), F.lower(name), F.lit("."))
 
 

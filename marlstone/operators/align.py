@@ -48,6 +48,20 @@ def greedy(pairs: DataFrame, group: str, threshold: float = THRESHOLD) -> DataFr
     return pairs.filter(F.col("final_score") >= threshold).groupBy(group).applyInPandas(choose, pairs.schema)
 
 
+def snippets(blocks: DataFrame, functions: DataFrame, matches: DataFrame, aligned: DataFrame) -> DataFrame:
+    """(func, input, output, history): descriptions of a function and of its blocks, told of its aligned counterpart.
+
+    blocks: (func, block, pos, output); functions: (func, output); matches: (func, block, other_block, other_code);
+    aligned: (func, code). A block without a match falls out of the history, a function without a counterpart is lost.
+    ``history``: (block, input, output) by the counterpart's block, of two with the same one the later.
+    """
+    h = blocks.join(matches, ["func", "block"]).groupBy("func", "other_block").agg(F.max_by(F.struct("pos", "other_code", "output"), "pos").alias("h"))
+    h = h.groupBy("func").agg(F.sort_array(F.collect_list(F.struct("h.pos", F.col("other_block").alias("block"), F.col("h.other_code").alias("input"), "h.output"))).alias("history"))
+    x = functions.join(aligned.select("func", F.col("code").alias("input")), "func").join(h, "func", "left")
+    none = F.array().cast("array<struct<block:string,input:string,output:string>>")
+    return x.select("func", "input", "output", F.coalesce(F.transform("history", lambda s: F.struct(s["block"].cast("string").alias("block"), s["input"].alias("input"), s["output"].alias("output"))), none).alias("history"))
+
+
 def best_candidate(pairs: DataFrame, by: str) -> DataFrame:
     """The best pair of each ``by``, the first of equals."""
     best = F.max_by(F.struct(*[c for c in pairs.columns if c != by]), F.struct("final_score", (-F.col("right_pos")).alias("p")))

@@ -95,6 +95,11 @@ def block_records(samples: DataFrame, template: str = BLOCK_TEMPLATE) -> DataFra
     return x.select("func_name", F.array(message("user", fill(template, {"code": F.col("h.input")})), message("assistant", F.col("h.output"))).alias("messages"))
 
 
+def filled(samples: DataFrame, *results: str) -> DataFrame:
+    """Samples of which any result was filled in."""
+    return samples.filter(F.coalesce(*results).isNotNull())
+
+
 def training_set(summaries: DataFrame, blocks: DataFrame | None, names: DataFrame) -> DataFrame:
     """(part, func_name, messages): summaries first, then block and name records."""
     parts = [(0, summaries), (1, blocks), (2, names)]

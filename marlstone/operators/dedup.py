@@ -11,6 +11,7 @@ def first_by(rows: DataFrame, key: Column | str, order: list) -> DataFrame:
     """The first row of each key; rows with a null key are all kept.
 
     The choice is a minimum of (order, row) and so is combined before the shuffle; a hot key moves a row per task.
+    Rows are dealt out by the key, which may be a digest of what is long.
     """
     key = F.col(key) if isinstance(key, str) else key
     order_struct = F.struct(*[F.col(o).alias(f"_{i}") for i, o in enumerate(order)])
@@ -21,11 +22,21 @@ def first_by(rows: DataFrame, key: Column | str, order: list) -> DataFrame:
 
 
 def two_stage(rows: DataFrame, name: str, body: str, order: list, usable: Column | None = None) -> DataFrame:
-    """First by name over all rows, then (of usable ones) first by body; bodies meet by hash and are compared in full."""
-    x = first_by(rows, name, order)
-    if usable is not None:
-        x = x.filter(usable)
-    return first_by(x, F.when(F.col(body).isNotNull(), F.struct(F.xxhash64(body).alias("h"), F.col(body).alias("b"))), order)
+    """First by name over all rows, then (of usable ones) first by body. ``order`` tells all rows apart.
+
+    Both choices are made on names and SHA-256 digests of bodies; the rows themselves move once, to meet the chosen.
+    """
+    digest = F.sha2(F.col(body).cast("binary"), 256)
+    thin = rows.select(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(name).alias("n"), digest.alias("b"), (F.lit(True) if usable is None else usable).alias("u"))
+    won = first_by(first_by(thin, "n", keys := [f"o{i}" for i in range(len(order))]).filter("u"), "b", keys)
+    meet = [rows[o].eqNullSafe(won[k]) for o, k in zip(order, keys, strict=True)]
+    return rows.join(won, meet, "left_semi")
+
+
+def replayed(names: DataFrame, name: str, saved: DataFrame, **options) -> DataFrame:
+    """(name, split) as ``saved`` has it; names that it does not know are split among themselves."""
+    new = split(names.join(saved.select(name), name, "left_anti"), name, **options)
+    return names.select(name).distinct().join(saved.select(name, "split"), name).unionByName(new)
 
 
 def last_by(rows: DataFrame, key: str, order: Column | str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Call graphs as edge tables: extraction, closure, classification and neighbour inlining."""
+"""Call graphs as edge tables: extraction, closure, classification and neighbour inlining.
+
+``keys`` name the binary that a graph belongs to: equal function names in two binaries are two nodes, and a node's row
+holds the neighbours of one binary, never of the corpus.
+"""
 
 from __future__ import annotations
 
@@ -6,42 +10,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def edges(calls: DataFrame, caller: str, callee: str) -> DataFrame:
-    """Distinct (caller, callee)."""
-    return calls.select(F.col(caller).alias("caller"), F.col(callee).alias("callee")).filter("caller is not null and callee is not null").distinct()
+def edges(calls: DataFrame, caller: str, callee: str, keys: list[str]) -> DataFrame:
+    """Distinct (keys, caller, callee)."""
+    return calls.select(*keys, F.col(caller).alias("caller"), F.col(callee).alias("callee")).filter("caller is not null and callee is not null").distinct()
 
 
-def adjacency(edge: DataFrame, order: str | None = None) -> DataFrame:
-    """(func, callee_internal): each caller's distinct callees, by first place (``order``) or by name."""
+def adjacency(edge: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """(keys, func, callee_internal): each caller's distinct callees, by first place (``order``) or by name."""
     if order is None:
-        return edge.groupBy(F.col("caller").alias("func")).agg(F.sort_array(F.collect_set("callee")).alias("callee_internal"))
-    first = edge.groupBy("caller", "callee").agg(F.min(order).alias("at"))
-    placed = first.groupBy(F.col("caller").alias("func")).agg(F.sort_array(F.collect_list(F.struct("at", "callee"))).alias("x"))
-    return placed.select("func", F.transform("x", lambda e: e["callee"]).alias("callee_internal"))
+        return edge.groupBy(*keys, F.col("caller").alias("func")).agg(F.sort_array(F.collect_set("callee")).alias("callee_internal"))
+    first = edge.groupBy(*keys, "caller", "callee").agg(F.min(order).alias("at"))
+    placed = first.groupBy(*keys, F.col("caller").alias("func")).agg(F.sort_array(F.collect_list(F.struct("at", "callee"))).alias("x"))
+    return placed.select(*keys, "func", F.transform("x", lambda e: e["callee"]).alias("callee_internal"))
 
 
-def closed(forward: DataFrame, backward: DataFrame, external: DataFrame | None = None, two_way: bool = True) -> DataFrame:
-    """(func, callee_internal, caller) where every forward edge has its reverse and, with two_way, every reverse its edge.
+def closed(forward: DataFrame, backward: DataFrame, keys: list[str], external: DataFrame | None = None, two_way: bool = True) -> DataFrame:
+    """(keys, func, callee_internal, caller) where every forward edge has its reverse and, with two_way, every reverse its edge.
 
-    forward and backward: (caller, callee); external: callees that take no forward edge. Nodes met only as the other
-    end of an edge get a row of their own.
+    forward and backward: (keys, caller, callee); external: (symbol), and keys if symbols belong to binaries: callees that
+    take no forward edge. Nodes met only as the other end of an edge get a row of their own.
     """
     back = forward.unionByName(backward).distinct()
     ahead = forward
     if two_way:
-        missing = backward.join(forward, ["caller", "callee"], "left_anti")
+        missing = backward.join(forward, [*keys, "caller", "callee"], "left_anti")
         if external is not None:
-            missing = missing.join(external.select(F.col("symbol").alias("callee")), "callee", "left_anti").select("caller", "callee")
+            own = [k for k in keys if k in external.columns]
+            missing = missing.join(external.select(*own, F.col("symbol").alias("callee")), [*own, "callee"], "left_anti").select(*keys, "caller", "callee")
         ahead = forward.unionByName(missing).distinct()
-    rows = ahead.select(F.col("caller").alias("func"), F.col("callee").alias("out"), F.lit(None).cast("string").alias("into"))
-    rows = rows.unionByName(back.select(F.col("callee").alias("func"), F.lit(None).cast("string").alias("out"), F.col("caller").alias("into")))
-    return rows.groupBy("func").agg(F.sort_array(F.collect_set("out")).alias("callee_internal"), F.sort_array(F.collect_set("into")).alias("caller"))
+    rows = ahead.select(*keys, F.col("caller").alias("func"), F.col("callee").alias("out"), F.lit(None).cast("string").alias("into"))
+    rows = rows.unionByName(back.select(*keys, F.col("callee").alias("func"), F.lit(None).cast("string").alias("out"), F.col("caller").alias("into")))
+    return rows.groupBy(*keys, "func").agg(F.sort_array(F.collect_set("out")).alias("callee_internal"), F.sort_array(F.collect_set("into")).alias("caller"))
+
+
+def symbols(nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, symbol) of external functions, and of those a binary defines, from the nodes (keys, func_name, is_external) of a dump."""
+    outside = F.coalesce("is_external", F.lit(False))
+    of = lambda x: nodes.filter(x & F.col("func_name").isNotNull()).select(*keys, F.col("func_name").alias("symbol")).distinct()
+    return of(outside), of(~outside)
 
 
-def classified(edge: DataFrame, external: DataFrame) -> DataFrame:
-    """(caller, callee, kind): external if the callee is an external symbol."""
-    e = external.select(F.col("symbol").alias("callee"), F.lit(True).alias("is_external")).distinct()
-    return edge.join(e, "callee", "left").select("caller", "callee", F.when(F.coalesce("is_external", F.lit(False)), "external").otherwise("internal").alias("kind"))
+def classified(edge: DataFrame, external: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, caller, callee, kind): external if the callee is an external symbol, of the binary if symbols have its keys."""
+    own = [k for k in keys if k in external.columns]
+    e = external.select(*own, F.col("symbol").alias("callee"), F.lit(True).alias("is_external")).distinct()
+    return edge.join(e, [*own, "callee"], "left").select(*keys, "caller", "callee", F.when(F.coalesce("is_external", F.lit(False)), "external").otherwise("internal").alias("kind"))
 
 
 def inline(functions: DataFrame, keys: list[str], name: str, code: str, neighbours: str, label: str, skip: tuple[str, ...] = (), replace_always: bool = False) -> DataFrame:

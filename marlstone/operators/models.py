@@ -7,6 +7,7 @@ their order column, so results that arrive in any order can be told apart.
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
+from marlstone.functions.vectors import hashed_vector
+
 Client = Callable[[list[str]], list[tuple[str | None, str | None]]]
 
 
@@ -40,14 +44,57 @@ def complete(rows: DataFrame, id_col: str, prompt_col: str, factory: Callable[[]
     return src.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, reply string, error string")
 
 
-def hashed_vector(text: str, size: int = 64) -> np.ndarray:
-    """Stand-in for an encoder: normalised counts of hashed character trigrams."""
-    v = np.zeros(size)
-    for i in range(max(len(text) - 2, 1)):
-        h = int.from_bytes(hashlib.blake2b(text[i : i + 3].encode(), digest_size=8).digest(), "little")
-        v[h % size] += 1 if h >> 63 else -1
-    n = np.linalg.norm(v)
-    return v / n if n else v
+def answered(rows: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """Rows without an error; with ``keep_empty``, rows with one stay and have an empty reply."""
+    if keep_empty:
+        return rows.withColumn("reply", F.when(F.col("error").isNull(), F.col("reply")).otherwise(F.lit("")))
+    return rows.filter("error is null")
+
+
+def prefix_judge(n: int = 3) -> Client:
+    """Stand-in: whether the two names, one a line, begin alike; a blank name is an error."""
+
+    def judge(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        pairs = [p.split("\n") for p in prompts]
+        return [(None, "no name") if not (a and b) else (str(a[:n] == b[:n]), None) for a, b in pairs]
+
+    return judge
+
+
+def judged(rows: DataFrame, id_col: str, truth: str, prediction: str, factory: Callable[[], Client] = prefix_judge, pause: float = 0.0) -> DataFrame:
+    """(id, similarity, similarity_score, error) of pairs of names; an error counts as not similar.
+
+    Each pair is a request of its own, ``pause`` seconds after the one before, so that a paid service's pace is kept.
+    """
+
+    def paced() -> Client:
+        client = factory()
+
+        def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+            time.sleep(pause)
+            return client(prompts)
+
+        return ask
+
+    blank = lambda c: F.coalesce(T.strip(F.col(c)), F.lit(""))
+    asked = rows.select(F.col(id_col).alias("id"), F.concat(blank(truth), F.lit("\n"), blank(prediction)).alias("prompt"))
+    got = complete(asked, "id", "prompt", paced, batch=1)
+    true = F.col("error").isNull() & F.coalesce(T.verdict_of(F.col("reply")), F.lit(False))
+    return got.select("id", true.alias("similarity"), true.cast("double").alias("similarity_score"), "error")
+
+
+def digest_client() -> Client:
+    """Stand-in: a digest of the prompt as the name; a prompt that mentions nothing is an error."""
+    return lambda prompts: [(f"assistant: {hashlib.md5(p.encode()).hexdigest()[:8]} ", None) if p else (None, "empty prompt") for p in prompts]
+
+
+def predicted(rows: DataFrame, id_col: str, messages: str, factory: Callable[[], Client] = digest_client) -> DataFrame:
+    """(id, ground_truth, predicted_name) of conversations (array of role, content): only the first turn is sent, the
+    last is the truth; a failed request predicts nothing."""
+    c = F.col(messages)
+    conv = rows.select(F.col(id_col).alias("id"), c[0]["content"].alias("prompt"), F.element_at(c, -1)["content"].alias("ground_truth"))
+    got = answered(complete(conv, "id", "prompt", factory), keep_empty=True)
+    return conv.select("id", "ground_truth").join(got, "id").select("id", "ground_truth", T.clean_reply(F.col("reply")).alias("predicted_name"))
 
 
 def embed(rows: DataFrame, text_col: str, encode: Callable[[str], np.ndarray] = hashed_vector) -> DataFrame:

@@ -27,10 +27,10 @@ def micro(counts: DataFrame) -> DataFrame:
     return s.select("tp", "fp", "fn", zero(p).alias("precision"), zero(r).alias("recall"), zero(f1).alias("f1"))
 
 
-def verdicts(rows: DataFrame, key: str = "ground_truth", verdict: str = "similarity", order: str | None = None) -> DataFrame:
-    """(key, similar) with canonical keys, the last row of each; blank keys fall out."""
+def verdicts(rows: DataFrame, order: str, key: str = "ground_truth", verdict: str = "similarity") -> DataFrame:
+    """(key, similar) with canonical keys, the last row of each by ``order``; blank keys fall out."""
     x = rows.filter(T.strip(F.coalesce(F.col(key).cast("string"), F.lit(""))) != "")
-    x = x.select(T.canonical_name(F.col(key).cast("string")).alias("key"), T.as_boolean(F.col(verdict)).alias("similar"), (F.col(order) if order else F.lit(0)).alias("o"))
+    x = x.select(T.canonical_name(F.col(key).cast("string")).alias("key"), T.as_boolean(F.col(verdict)).alias("similar"), F.col(order).alias("o"))
     return x.groupBy("key").agg(F.max_by("similar", F.struct("o", "similar")).alias("similar"))
 
 
@@ -47,6 +47,12 @@ def rate(rows: DataFrame, flag: Column) -> DataFrame:
     return rows.agg(F.count_if(flag).alias("n_similar"), F.count("*").alias("n_total")).withColumn("rate", F.try_divide("n_similar", "n_total"))
 
 
+def throughput(rows: DataFrame, started: str, finished: str) -> DataFrame:
+    """One row: how many, over which seconds, and how many a second (null without a span of time)."""
+    span = F.max(F.unix_micros(F.col(finished).cast("timestamp"))) - F.min(F.unix_micros(F.col(started).cast("timestamp")))
+    return rows.agg(F.count("*").alias("n"), (span / 1e6).alias("seconds")).withColumn("per_second", F.try_divide("n", "seconds"))
+
+
 def vector_verdict(score: Column, threshold: float = 0.7) -> Column:
     """(similarity, similarity_score): the threshold sees the clamped score, the record the rounded one."""
     c = T.clamp(score)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from marlstone.functions import code as C
+from marlstone.functions import similarity as S
 from marlstone.functions import text as T
 from marlstone.operators import pairing
+from marlstone.queries import PROGRAMS
 
 SQL: dict[str, str] = {}
 
@@ -121,7 +123,7 @@ _SPLITS = "select doc_id, case when r < floor(0.8::double * n) then 'train' when
 SQL["deterministic_split"] = _SPLITS
 SQL["split_audit_counts"] = f"select split, count(*) as n from ({_SPLITS}) group by split"
 SQL["skip_existing"] = "select doc_id from documents where doc_id not in (select doc_id from labels)"
-SQL["union_corpora"] = "select case lang when 'en' then 0 when 'de' then 1 else 2 end as part, doc_id, lang from documents where lang in ('en', 'de', 'fr')"
+SQL["union_corpora"] = "select case lang when 'en' then 0 when 'de' then 1 when 'fr' then 2 when 'es' then 3 else 4 end as part, doc_id, lang from documents"
 
 SQL["sibling_semi_join"] = "select o_orderkey, o_custkey as c_custkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 0) and o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')"
 _FUNCTIONS = """
@@ -145,24 +147,24 @@ select p_partkey, func_name from p where func_name not in {_list(pairing.SKIP_SP
 """
 SQL["assembly_window"] = "select l_orderkey, l_linenumber, l_quantity from lineitem where l_linenumber <> 7 and l_quantity::int * 30 between 5 and 1024"
 
-_E = "e as (select distinct 'p' || l_partkey as caller, 's' || l_suppkey as callee, l_partkey as k from lineitem)"
-SQL["edge_extract_unique"] = f"with {_E} select caller as func, string_agg(callee, ',' order by callee) as callees from e group by caller"
+_E = "e as (select distinct l_linestatus as \"binary\", 'p' || l_partkey as caller, 's' || l_suppkey as callee, l_partkey as k from lineitem)"
+SQL["edge_extract_unique"] = f'with {_E} select "binary", caller as func, string_agg(callee, chr(44) order by callee) as callees from e group by all'
 SQL["ordered_adjacency"] = """
-with x as (select l_suppkey::varchar as func, l_returnflag as callee, min(l_orderkey * 10 + l_linenumber) as pos from lineitem group by all)
-select func, string_agg(callee, ',' order by pos, callee) as callees from x group by func
+with x as (select l_linestatus as "binary", l_suppkey::varchar as func, l_returnflag as callee, min(l_orderkey * 10 + l_linenumber) as pos from lineitem group by all)
+select "binary", func, string_agg(callee, ',' order by pos, callee) as callees from x group by "binary", func
 """
 _CLOSED = """
-, back as (select caller, callee from forward union select caller, callee from backward),
-o as (select caller as func, string_agg(callee, ',' order by callee) as callees from ahead group by caller),
-i as (select callee as func, string_agg(caller, ',' order by caller) as callers from back group by callee)
-select func, coalesce(callees, '') as callees, coalesce(callers, '') as callers from o full join i using (func)
+, back as (select * from forward union select * from backward),
+o as (select "binary", caller as func, string_agg(callee, ',' order by callee) as callees from ahead group by all),
+i as (select "binary", callee as func, string_agg(caller, ',' order by caller) as callers from back group by all)
+select "binary", func, coalesce(callees, '') as callees, coalesce(callers, '') as callers from o full join i using ("binary", func)
 """
-_HALVES = """with forward as (select distinct 'p' || l_partkey as caller, 's' || l_suppkey as callee from lineitem where l_returnflag <> 'R'),
-backward as (select distinct 'p' || l_partkey as caller, 's' || l_suppkey as callee from lineitem where l_returnflag = 'R')"""
+_HALVES = """with forward as (select distinct l_linestatus as "binary", 'p' || l_partkey as caller, 's' || l_suppkey as callee from lineitem where l_returnflag <> 'R'),
+backward as (select distinct l_linestatus as "binary", 'p' || l_partkey as caller, 's' || l_suppkey as callee from lineitem where l_returnflag = 'R')"""
 _SYMBOLS = "select 's' || s_suppkey from supplier where s_acctbal < 0"
-SQL["edge_closure"] = f"{_HALVES}, ahead as (select caller, callee from forward union select caller, callee from backward where callee not in ({_SYMBOLS})){_CLOSED}"
+SQL["edge_closure"] = f"{_HALVES}, ahead as (select * from forward union select * from backward where callee not in ({_SYMBOLS})){_CLOSED}"
 SQL["forward_closure"] = f"{_HALVES}, ahead as (select * from forward){_CLOSED}"
-SQL["external_classify"] = f"with {_E} select caller, callee, case when callee in ({_SYMBOLS}) then 'external' else 'internal' end as kind from e"
+SQL["external_classify"] = f"with {_E} select \"binary\", caller, callee, case when callee in ({_SYMBOLS}) then 'external' else 'internal' end as kind from e"
 _INLINE = """
 with n as (select p_brand, p_partkey, unnest([1, 3, 7, 11, 13, 17, 19]) as f, unnest(generate_series(0, 6)) as pos from part),
 a as (select p_brand, p_partkey, pos, (p_partkey * f + f) % 400 as m from n),
@@ -221,7 +223,7 @@ g as (select event_id, {_reply('x', 'xb', 'new_name', close_quote=False)} as got
 select event_id, case when got is null or length(got) > 12 then 'orig' else got end as new_name from g
 """
 _ANSWERS = r"""
-w as (select conv_id, turn, regexp_replace(split_part(text, ' ', 1), '[^\p{L}]', '', 'g') as w, regexp_replace(split_part(text, ' ', 2), '[^\p{L}]', '', 'g') as v from conversations),
+w as (select conv_id, turn, regexp_replace(substring(text, 1, length(text) // 2), '[^\p{L}]', '', 'g') as w, regexp_replace(substring(text, length(text) // 2 + 1), '[^\p{L}]', '', 'g') as v from conversations),
 a as (select conv_id, turn, case (conv_id + turn) % 6 when 0 then 'The function name is: ' || w || '_' || v || '.' || chr(10) || 'because' when 1 then 'Name: "' || w || '" I think' when 2 then 'It is `ns::' || w || '`'
   when 3 then w || '::' || v when 4 then 'call ' || w || ' ' || v else '' end as answer from w)
 """
@@ -233,8 +235,8 @@ select conv_id, turn, {_strip("split_part(" + _strip("split_part(x, '.', -1)") +
 SQL["truth_parse"] = f"with {_ANSWERS} select conv_id, turn, {_strip('replace(split_part(' + _strip('answer') + ', ' + chr(39) + ':' + chr(39) + ', -1), ' + chr(39) + '.' + chr(39) + ', ' + chr(39) * 2 + ')')} as truth, replace({_strip(chr(39) + 'assistant: ' + chr(39) + ' || answer')}, 'assistant: ', '') as reply from a"
 SQL["name_tokens"] = r"select p_partkey, trim(regexp_replace(lower(p_name || '_' || p_brand || ' ' || p_type), '[^\p{L}]+', ' ', 'g')) as tokens, len(string_split(lower(p_name), ' '))::int as n_words from part"
 SQL["canonicalize_name"] = "select p_partkey, regexp_replace('__' || replace(lower(p_name), ' ', '___') || '_', '^_+|_+$|_{2,}', '_', 'g') as name from part"
-SQL["edit_similarity"] = "with p as (select p_partkey, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b from part) select p_partkey, round(1.0::double - damerau_levenshtein(a, b) / greatest(length(a), length(b)), 9) as similarity from p"
-SQL["prefix_match"] = "with p as (select p_partkey, split_part(p_name, ' ', 1) as a, substring(p_name, 1, 3) as b from part) select p_partkey, (starts_with(a, b) or starts_with(b, a)) and length(a) > 1 and length(b) > 1 as is_prefix from p"
+SQL["edit_similarity"] = "with p as (select a.p_partkey, a.p_name as a, b.p_name as b from part a join part b on b.p_partkey = a.p_partkey + 1) select p_partkey, round(1.0::double - damerau_levenshtein(a, b) / greatest(length(a), length(b)), 9) as similarity from p"
+SQL["prefix_match"] = "with p as (select p_partkey, p_name as a, substring(p_name, 1, 3) as b from part union all select a.p_partkey, a.p_name, b.p_name from part a join part b on b.p_partkey = a.p_partkey + 1) select p_partkey, (starts_with(a, b) or starts_with(b, a)) and length(a) > 1 and length(b) > 1 as is_prefix from p"
 _COUNTS = """
 l as (select a.p_partkey, string_split(lower(a.p_name), ' ') as r, string_split(lower(b.p_name), ' ') as g from part a join part b on b.p_partkey = a.p_partkey + 1),
 c as (select p_partkey, case when r = g then len(r) else len(list_intersect(r, g)) end::bigint as tp,
@@ -246,12 +248,13 @@ with {_COUNTS}, s as (select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(f
 select tp, fp, fn, round(p, 9) as precision, round(r, 9) as recall, round(2 * p * r / (p + r), 9) as f1 from p
 """
 SQL["judge_agreement"] = """
-with a as (select doc_id, quality = 1 as a from labels where quality = 1 or toxic = 0), b as (select doc_id, toxic = 1 as b from labels where quality = 0 or toxic = 0), x as (select * from a full join b using (doc_id))
+with a as (select doc_id // 7 as k, arg_max(quality = 1, doc_id) as a from labels where quality = 1 or toxic = 0 group by k), b as (select doc_id // 7 as k, arg_max(toxic = 1, doc_id) as b from labels where quality = 0 or toxic = 0 group by k),
+x as (select * from a full join b using (k))
 select count(*) filter (a is not null and b is not null) as n_common, count(*) filter (a and b) as n_both_true, count(*) filter (b is null) as n_only_first, count(*) filter (a is null) as n_only_second,
   round(count(*) filter (a and b) / count(*) filter (a is not null and b is not null), 9) as ratio from x
 """
 SQL["similar_rate"] = "select count(*) filter (quality = 1) as n_similar, count(*) as n_total, round(count(*) filter (quality = 1) / count(*), 9) as rate from labels"
-SQL["vector_verdicts"] = "with c as (select vec_id, greatest(0.0, least(1.0, round(embedding[1]::double * 8, 6))) as c from embeddings) select vec_id, c >= 0.7 as similarity, round_even(c, 4)::double as similarity_score from c"
+SQL["vector_verdicts"] = "with c as (select vec_id, greatest(0.0, least(1.0, round(list_sum(list_transform(embedding, lambda x: x::double * x::double * 0.8::double)) + embedding[1]::double, 6))) as c from embeddings) select vec_id, c >= 0.7 as similarity, round_even(c, 4)::double as similarity_score from c"
 
 SQL["chat_records"] = r"""
 with x as (select u.conv_id || '_' || u.turn as func_name, u.text as input, a.text as output from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'),
@@ -267,14 +270,101 @@ select doc_id as bin_name, md5(array_to_string(case when len(w) > 100 then list_
 SQL["checkpoint_counts"] = "select event_id // 1000 as batch, count(*) as n, count(distinct user_id) as n_users from events group by event_id // 1000"
 SQL["completion_order"] = "select event_id, row_number() over (partition by user_id order by ts, event_id)::int as arrived, user_id from events"
 SQL["model_replies"] = "select item_id as id, substring(sha256(text), 1, 16) as description from benchmark"
-_BODY = "  for (i = 0; i < n; i++)' || chr(10) || '  {' || chr(10) || '    a{0} = {1}(i);' || chr(10) || '    b += a;' || chr(10) || chr(10) || '    c = 1;' || chr(10) || '    d = 2;' || chr(10) || '  }' || chr(10) || '"
 
 
-def _code(name: str, called: str, last: str) -> str:
-    body = "".join(_BODY.replace("{0}", str(i)).replace("{1}", called) for i in (1, 2, 3))
-    return f"'int {name}(int n)' || chr(10) || '{{' || chr(10) || '{body}  return {last}(b) + {called}(1);' || chr(10) || '}}' || chr(10)"
+def _program(name: str, called: str, last: str) -> str:
+    """The text of each page's program, with other names."""
+    texts = ", ".join(_str(p.replace("run_@K", name).replace("FUN_00@K", called).replace("FUN_9", last)) for p in PROGRAMS)
+    return f"replace(replace([{texts}][length(html) % 4 + 1], '@K', page_id::varchar), '@H', md5(html))"
+
+
+SQL["mask_names"] = f"select page_id, md5({_program('[MASK]', 'FUN_00@K', 'FUN_9')}) as masked_md5, md5({_program('[MASK]', 'FUN_00@K', 'FUN_9')}) as first_md5 from pages"
+
+
+def _renamed() -> str:
+    """Called names in order of appearance: in the fourth program FUN_7 comes first and the page's own last."""
+    texts = [p.replace("FUN_00@K", "FUN_0").replace("FUN_9", "FUN_1") for p in PROGRAMS[:3]]
+    texts.append(PROGRAMS[3].replace("FUN_7", "FUN_0").replace("FUN_9", "FUN_1").replace("FUN_00@K", "FUN_2"))
+    return f"replace(replace([{', '.join(map(_str, texts))}][length(html) % 4 + 1], '@K', page_id::varchar), '@H', md5(html))"
+
+
+SQL["rename_calls"] = f"select page_id, md5({_renamed()}) as renamed_md5 from pages"
+#: Block records of the four programs: number, type, first line, line after the last, children.
+BLOCKS = (
+    (0, "run", "full_function", "null", "null", ""),
+    (1, "2", "for_statement", 2, 10, ""), (1, "1", "for_statement", 10, 18, ""), (1, "run", "function_definition", "null", "null", "2,1"),
+    (2, "2", "while_statement", 2, 12, ""), (2, "1", "for_statement", 12, 20, ""), (2, "run", "function_definition", "null", "null", "2,1"),
+    (3, "2", "while_statement", 2, 20, "1"), (3, "1", "if_statement", 12, 19, ""), (3, "run", "function_definition", "null", "null", "2"),
+)
+_BLOCKS = "b(v, block_id, type, line_start, line_end, relation) as (values " + ", ".join(f"({v}, '{i}', '{t}', {a}::int, {z}::int, '{r}')" for v, i, t, a, z, r in BLOCKS) + ")"
+SQL["code_blocks"] = f"with {_BLOCKS} select page_id, block_id, type, line_start, line_end, relation from pages join b on v = length(html) % 4"
+_TOP = "translation_unit>function_definition>compound_statement>"
+_FOR = ["for_statement>compound_statement>expression_statement"] * 4
+_IN_IF = ["while_statement>compound_statement>if_statement>compound_statement>expression_statement"] * 4
+PATHS = (_FOR, _FOR * 2, _IN_IF + _FOR, ["while_statement>compound_statement>expression_statement"] * 8 + _IN_IF)
+_PATHS = ", ".join(_str("\n".join(_TOP + p for p in [*ps, "expression_statement", "expression_statement"])) for ps in PATHS)
+SQL["structure_paths"] = f"select page_id, [{_PATHS}][length(html) % 4 + 1] as paths from pages"
+_GREEDY = _SCORED.replace("'t' || (label % 3) as type", "case when vec_id % 20 >= 18 then 'full_function' else 't' || (label % 3) end as type").replace("\nwith b", "\nwith recursive b").replace("on l.func", "on l.type <> 'full_function' and l.func")
+SQL["blended_alignment"] = f"""{_GREEDY},
+c as (select func, left_id, list({{'r': right_id, 's': final_score}} order by final_score desc, right_id) as cs, row_number() over (partition by func order by left_id) as k from x where final_score >= 0.3 group by func, left_id),
+g as (select func, 0::bigint as k, []::bigint[] as used, null::bigint as left_id, null::bigint as right_id, null::double as final_score from (select distinct func from c)
+  union all select func, k, case when pick is null then used else list_append(used, pick.r) end, left_id, pick.r, pick.s
+  from (select g.func, c.k, g.used, c.left_id, list_filter(c.cs, lambda p: not list_contains(g.used, p.r))[1] as pick from g join c on c.func = g.func and c.k = g.k + 1))
+select func, left_id, right_id, final_score from g where right_id is not null
+"""
+# Local alignment of an abbreviation, a cell at a time: score and matched places of the row above and of this one.
+_ALIGN = """
+z(a, b, i, j, above, row, top, n) as (
+  select a, b, 1, 0, list_transform(range(length(b) + 1), lambda q: {{'s': 0.0::double, 'n': 0}}), [{{'s': 0.0::double, 'n': 0}}], 0.0::double, 0 from {0}
+  union all
+  select a, b, case when j = length(b) then i + 1 else i end, case when j = length(b) then 0 else j + 1 end,
+    case when j = length(b) then row else above end, case when j = length(b) then [{{'s': 0.0::double, 'n': 0}}] else list_append(row, cell) end,
+    case when j < length(b) and cell.s > top then cell.s else top end, case when j < length(b) and cell.s > top then cell.n else n end
+  from (select *, case when v = 0 or j = length(b) then {{'s': 0.0::double, 'n': 0}} when v = m then {{'s': v, 'n': above[j + 1].n + 1}} when v = f then {{'s': v, 'n': above[j + 2].n}} else {{'s': v, 'n': row[j + 1].n}} end as cell
+    from (select *, greatest(0.0, m, f, h) as v from (select *, above[j + 1].s + case when a[i] = b[j + 1] then 2.0 else -2.0 end as m, above[j + 2].s - 1.0 as f, row[j + 1].s - 3.0 as h from z where i <= length(a)))))
+"""
+_ALIGNED = "select a, b, top as score, case when b = '' then 0.0 else least(1.0, top / (2 * length(b))) end::double as confidence, n::int as n_places from z where i = length(a) + 1"
+SQL["abbreviation_match"] = f"""
+with recursive p as (select p_partkey, p_name, replace(lower(p_name), ' ', '') as a, replace(lower(regexp_replace(p_name, '[aeiou ]', '', 'g')), ' ', '') as b from part),
+d as (select distinct a, b from p), {_ALIGN.format('d')}, g as ({_ALIGNED})
+select p_partkey, score::double as score, confidence, n_places from p join g using (a, b)
+"""
+
+
+def similar(pairs: str) -> str:
+    """CTEs (after ``with recursive``) that end in v(r, g, alike): the cascade over the pairs of the CTE ``pairs`` (r, g)."""
+    grams = "(select w, unnest(generate_series(1, greatest(length(w) - 2, 1))) as i from words)"
+    side = lambda c: f"replace(replace(replace(lower({c}), '_', ''), '-', ''), ' ', '')"
+    lemma = lambda c: f"case when regexp_matches({c}, '^[a-z]{{3,}}$') then regexp_replace({c}, '^([a-z]{{3,}}?)(?:ing|ed|es|s)$', '\\1') end"
+    gate = f"least(length(r), length(g)) >= 3 and r not in {_list(sorted(S.PREPOSITIONS))} and g not in {_list(sorted(S.PREPOSITIONS))}"
+    gate_p = gate.replace("(r)", "(p.r)").replace("(g)", "(p.g)").replace("and r not", "and p.r not").replace("and g not", "and p.g not")
+    ok = f"x.confidence >= {S.CONFIDENCE} and x.n_places >= {S.PLACES}"
+    return f"""
+d as (select distinct {side('r')} as a, {side('g')} as b from {pairs} where {gate} union select distinct {side('g')}, {side('r')} from {pairs} where {gate}),
+{_ALIGN.format('d')}, al as ({_ALIGNED}),
+words as (select distinct w from (select r as w from {pairs} union all select g from {pairs})),
+hashed as (select w, ('0x' || substring(md5(substring(w, i, 3)), 1, 15))::bigint as h from {grams}),
+vec as (select w, h % 64 as k, sum(case when h // 64 % 2 = 1 then 1.0 else -1.0 end)::double as v from hashed group by all),
+norm as (select w, sqrt(sum(v * v)) as n from vec group by w having n > 0),
+cosine as (select p.r, p.g, sum(a.v * b.v) / (any_value(m.n) * any_value(o.n)) as c from {pairs} p join vec a on a.w = p.r join vec b on b.w = p.g and b.k = a.k join norm m on m.w = p.r join norm o on o.w = p.g group by p.r, p.g),
+v as (select p.r, p.g, case when p.r = '' or p.g = '' then p.r = p.g else
+  trim(p.r) = trim(p.g) or 1.0 - damerau_levenshtein(p.r, p.g) / greatest(length(p.r), length(p.g)) >= {S.EDIT}
+  or coalesce({lemma('p.r')} = {lemma('p.g')}, false)
+  or ({gate_p} and exists (select 1 from al x where {ok} and ((x.a = {side('p.r')} and x.b = {side('p.g')}) or (x.a = {side('p.g')} and x.b = {side('p.r')}))))
+  or (least(length(p.r), length(p.g)) > 1 and (starts_with(p.r, p.g) or starts_with(p.g, p.r)))
+  or (least(length(p.r), length(p.g)) >= 3 and coalesce(c, 0) >= {S.VECTORS}) end as alike
+  from {pairs} p left join (select r as cr, g as cg, c from cosine) on cr = p.r and cg = p.g)
+"""
 
 
-_FN = "FUN_00' || page_id || '"
-SQL["mask_names"] = f"select page_id, md5({_code('[MASK]', _FN, 'FUN_9')}) as masked_md5, md5({_code('[MASK]', _FN, 'FUN_9')}) as first_md5 from pages"
-SQL["rename_calls"] = f"select page_id, md5({_code('run_' + chr(39) + ' || page_id || ' + chr(39), 'FUN_0', 'FUN_1')}) as renamed_md5 from pages"
+SQL["similar_prf1"] = f"""
+with recursive l as (select a.p_partkey as k, string_split(lower(a.p_name), ' ') as rs, string_split(lower(b.p_name), ' ') as gs from part a join part b on b.p_partkey = a.p_partkey + 1),
+u as (select k, rs, gs, unnest(generate_series(1, len(gs))) as j from l), t as (select k, rs, gs, j, unnest(generate_series(1, len(rs))) as i from u),
+q as (select distinct rs[i] as r, gs[j] as g from t), {similar('q')},
+first as (select k, j, min(i) as i from t join v on v.r = rs[i] and v.g = gs[j] where alike and rs[i] <> gs[j] and rs[i] not in {_list(S.UNMATCHED)} and gs[j] not in {_list(S.UNMATCHED)} and not list_contains(rs, gs[j]) group by k, j),
+o as (select u.k, any_value(u.rs) as rs, list(coalesce(u.rs[first.i], u.gs[u.j]) order by u.j) as os from u left join first on first.k = u.k and first.j = u.j group by u.k),
+c as (select case when rs = os then len(rs) else len(list_intersect(list_distinct(rs), os)) end as tp, case when rs = os then 0 else len(list_distinct(os)) - len(list_intersect(list_distinct(rs), os)) end as fp,
+  case when rs = os then 0 else len(list_distinct(rs)) - len(list_intersect(list_distinct(rs), os)) end as fn from o),
+s as (select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from c), p as (select *, tp / (tp + fp) as p, tp / (tp + fn) as r from s)
+select tp, fp, fn, round(p, 9) as precision, round(r, 9) as recall, round(2 * p * r / (p + r), 9) as f1 from p
+"""

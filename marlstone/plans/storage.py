@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
-_scopes: list[dict[str, Cut]] = [{}]
+_scopes: list[dict[str, Folder]] = [{}]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,14 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own}"
 
 
-class Cut:
-    """A written table: ``df`` reads it back, ``drop()`` deletes its files once nothing needs them."""
+class Folder:
+    """A place of its own in the shared folder; ``drop()`` deletes what it holds."""
 
-    def __init__(self, df: DataFrame, label: str):
-        spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/marlstone-{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.spark, self.df = spark, spark.read.schema(df.schema).parquet(self.path)
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/marlstone-{label}-{uuid.uuid4().hex}"
         self.scope = _scopes[-1]
         self.scope[self.path] = self
 
@@ -52,12 +49,21 @@ class Cut:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Cut(Folder):
+    """A written table: ``df`` reads it back, ``drop()`` deletes its files once nothing needs them."""
+
+    def __init__(self, df: DataFrame, label: str):
+        super().__init__(df.sparkSession, label)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``Cut(df, label).df``, for tables that the result still reads lazily."""
     return Cut(df, label).df
 
 
-def _drop_all(cuts: dict[str, Cut]) -> None:
+def _drop_all(cuts: dict[str, Folder]) -> None:
     for c in list(cuts.values()):
         c.drop()
 

@@ -1,7 +1,11 @@
-"""Queries of the library's own operators over the stand-in tables; each name has its SQL in ``marlstone.oracles``."""
+"""Queries of the library's own operators over the stand-in tables; each name has its SQL in ``marlstone.oracles``.
+
+``marlstone.edge_queries`` adds those that read, write, stream or ask a model."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,7 +44,8 @@ def sanitize_lines(spark, d):
 
 @query
 def text_quality_score(spark, d):
-    return _lines(spark, d).select("doc_id", "pos", F.round(T.quality(F.col("line")), 6).alias("score"), (T.quality(F.col("line")) < T.GIBBERISH).alias("gibberish"))
+    x = _lines(spark, d).select("doc_id", "pos", T.quality(F.col("line")).alias("q"))
+    return x.select("doc_id", "pos", F.round("q", 6).alias("score"), (F.col("q") < T.GIBBERISH).alias("gibberish"))
 
 
 @query
@@ -182,8 +187,9 @@ def skip_existing(spark, d):
 @query
 def union_corpora(spark, d):
     x = _t(spark, d, "documents")
-    parts = [x.filter(F.col("lang") == lang).select(F.lit(k).alias("part"), "doc_id", "lang") for k, lang in enumerate(("en", "de", "fr"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    named = ("en", "de", "fr", "es")
+    parts = [x.filter(F.col("lang") == lang) for lang in named] + [x.filter(F.col("lang").isNull() | ~F.col("lang").isin(*named))]
+    return reduce(DataFrame.unionByName, [p.select(F.lit(k).alias("part"), "doc_id", "lang") for k, p in enumerate(parts)])
 
 
 # Pairing
@@ -264,10 +270,13 @@ def assembly_window(spark, d):
 
 # Graphs
 
+BINARY = ["binary"]
+
 
 def _edges(spark, d):
-    x = _t(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
-    return graph.edges(x, "a", "b")
+    """Parts call suppliers; the line's status is the binary, so equal names stand in two binaries."""
+    x = _t(spark, d, "lineitem").select(F.col("l_linestatus").alias("binary"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
+    return graph.edges(x, "a", "b", BINARY)
 
 
 def _joined(c):
@@ -276,45 +285,48 @@ def _joined(c):
 
 @query
 def edge_extract_unique(spark, d):
-    return graph.adjacency(_edges(spark, d)).select("func", _joined(F.col("callee_internal")).alias("callees"))
+    return graph.adjacency(_edges(spark, d), BINARY).select("binary", "func", _joined(F.col("callee_internal")).alias("callees"))
 
 
 @query
 def ordered_adjacency(spark, d):
-    x = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("caller"), F.col("l_returnflag").alias("callee"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
-    return graph.adjacency(x, "at").select("func", _joined(F.col("callee_internal")).alias("callees"))
+    x = _t(spark, d, "lineitem").select(F.col("l_linestatus").alias("binary"), F.col("l_suppkey").cast("string").alias("caller"), F.col("l_returnflag").alias("callee"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return graph.adjacency(x, BINARY, "at").select("binary", "func", _joined(F.col("callee_internal")).alias("callees"))
 
 
 def _half_edges(spark, d):
     """Edges seen from the caller (not returned) and from the callee (returned)."""
-    x = _t(spark, d, "lineitem").select("l_returnflag", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
-    return graph.edges(x.filter("l_returnflag <> 'R'"), "a", "b"), graph.edges(x.filter("l_returnflag = 'R'"), "a", "b")
+    x = _t(spark, d, "lineitem").select(F.col("l_linestatus").alias("binary"), "l_returnflag", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
+    return graph.edges(x.filter("l_returnflag <> 'R'"), "a", "b", BINARY), graph.edges(x.filter("l_returnflag = 'R'"), "a", "b", BINARY)
 
 
 @query
 def edge_closure(spark, d):
     forward, backward = _half_edges(spark, d)
     external = _t(spark, d, "supplier").filter("s_acctbal < 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("symbol"))
-    return graph.closed(forward, backward, external).select("func", _joined(F.col("callee_internal")).alias("callees"), _joined(F.col("caller")).alias("callers"))
+    return graph.closed(forward, backward, BINARY, external).select("binary", "func", _joined(F.col("callee_internal")).alias("callees"), _joined(F.col("caller")).alias("callers"))
 
 
 @query
 def forward_closure(spark, d):
     forward, backward = _half_edges(spark, d)
-    return graph.closed(forward, backward, two_way=False).select("func", _joined(F.col("callee_internal")).alias("callees"), _joined(F.col("caller")).alias("callers"))
+    return graph.closed(forward, backward, BINARY, two_way=False).select("binary", "func", _joined(F.col("callee_internal")).alias("callees"), _joined(F.col("caller")).alias("callers"))
 
 
 @query
 def external_classify(spark, d):
     external = _t(spark, d, "supplier").filter("s_acctbal < 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("symbol"))
-    return graph.classified(_edges(spark, d), external)
+    return graph.classified(_edges(spark, d), external, BINARY)
 
 
-def _inlined(spark, d):
+def _inlined_sources(spark, d):
     p = _t(spark, d, "part")
     near = F.array(*[((F.col("p_partkey") * k + k) % 400).cast("string") for k in (1, 3, 7, 11, 13, 17, 19)])
-    f = p.select("p_brand", F.col("p_partkey").cast("string").alias("func_name"), F.col("p_name").alias("code"), near.alias("callee_internal"))
-    return graph.inline(f, ["p_brand"], "func_name", "code", "callee_internal", "func_name", skip=("0", "8"))
+    return p.select("p_brand", F.col("p_partkey").cast("string").alias("func_name"), F.col("p_name").alias("code"), near.alias("callee_internal"))
+
+
+def _inlined(spark, d):
+    return graph.inline(_inlined_sources(spark, d), ["p_brand"], "func_name", "code", "callee_internal", "func_name", skip=("0", "8"))
 
 
 @query
@@ -338,20 +350,22 @@ def jaccard_tokens(spark, d):
     return x.join(x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("b")), "doc_id").select("doc_id", F.round(S.jaccard(F.col("w"), F.col("b")), 9).alias("jaccard"))
 
 
-def _blocks(spark, d, side):
-    """Vectors as blocks: ten of a row make a function, the label is the type."""
+def _blocks(spark, d, side, whole=False):
+    """Vectors as blocks: ten of a row make a function, the label is the type; with whole, two of them are whole functions."""
     e = _t(spark, d, "embeddings")
     e = e.filter(F.col("vec_id") % 2 == side)
     key = F.when(F.col("vec_id") % 40 < 2, F.lit("open"))
+    kind = F.concat(F.lit("t"), (F.col("label") % 3).cast("string"))
+    kind = F.when(F.col("vec_id") % 20 >= 18, F.lit("full_function")).otherwise(kind) if whole else kind
     return e.select(
-        F.floor(F.col("vec_id") / 20).alias("func"), F.concat(F.lit("t"), (F.col("label") % 3).cast("string")).alias("type"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"),
+        F.floor(F.col("vec_id") / 20).alias("func"), kind.alias("type"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"),
         F.array(F.concat(F.lit("a"), (F.col("vec_id") % 3).cast("string")), F.concat(F.lit("b"), (F.col("vec_id") % 5).cast("string")), F.lit("c")).alias("paths"),
         F.col("embedding").alias("vec"), key.alias("keyword"),
     )
 
 
-def _scored(spark, d):
-    x = align.scored_pairs(_blocks(spark, d, 0), _blocks(spark, d, 1), "func", "type")
+def _scored(spark, d, whole=False):
+    x = align.scored_pairs(_blocks(spark, d, 0, whole), _blocks(spark, d, 1, whole), "func", "type")
     return x.withColumn("final_score", F.round("final_score", 6)).withColumn("semantic_score", F.round("semantic_score", 6)).withColumn("structure_score", F.round("structure_score", 6))
 
 
@@ -367,7 +381,7 @@ def argmax_candidate(spark, d):
 
 @query
 def blended_alignment(spark, d):
-    return align.greedy(_scored(spark, d), "func").select("func", "left_id", "right_id", "final_score")
+    return align.greedy(_scored(spark, d, whole=True), "func").select("func", "left_id", "right_id", "final_score")
 
 
 @query
@@ -404,8 +418,8 @@ def json_name_extract(spark, d):
 
 
 def _answers(spark, d):
-    w = F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(1)), r"[^\p{L}]", "")
-    v = F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(2)), r"[^\p{L}]", "")
+    half = F.floor(F.length("text") / 2).cast("int")
+    w, v = (F.regexp_replace(F.substring("text", *at), r"[^\p{L}]", "") for at in ((F.lit(1), half), (half + 1, F.length("text"))))
     kinds = [
         F.concat(F.lit("The function name is: "), w, F.lit("_"), v, F.lit(".\nbecause")), F.concat(F.lit('Name: "'), w, F.lit('" I think')), F.concat(F.lit("It is `ns::"), w, F.lit("`")),
         F.concat(w, F.lit("::"), v), F.concat(F.lit("call "), w, F.lit(" "), v), F.lit(""),
@@ -438,17 +452,22 @@ def canonicalize_name(spark, d):
     return _t(spark, d, "part").select("p_partkey", T.canonical_name(x).alias("name"))
 
 
+def _pairs_of_names(spark, d):
+    """(p_partkey, a, b): the names of neighbours by key."""
+    p = _t(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"))
+    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
+
+
 @query
 def edit_similarity(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b"))
-    return p.select("p_partkey", F.round(S.edit_similarity_udf("a", "b"), 9).alias("similarity"))
+    x = _pairs_of_names(spark, d)
+    return S.with_similarity(x, "a", "b").select("p_partkey", F.round("similarity", 9).alias("similarity"))
 
 
 @query
 def prefix_match(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.substring("p_name", 1, 3).alias("b"))
-    hit = (F.startswith("a", "b") | F.startswith("b", "a")) & (F.length("a") > 1) & (F.length("b") > 1)
-    return p.select("p_partkey", hit.alias("is_prefix"))
+    p = _t(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.substring("p_name", 1, 3).alias("b"))
+    return p.unionByName(_pairs_of_names(spark, d)).select("p_partkey", S.is_prefix(F.col("a"), F.col("b")).alias("is_prefix"))
 
 
 @query
@@ -482,8 +501,9 @@ def similar_prf1(spark, d):
 @query
 def judge_agreement(spark, d):
     x = _t(spark, d, "labels")
-    side = lambda c, keep: x.filter(keep).select(F.concat(F.lit("__"), F.col("doc_id").cast("string")).alias("ground_truth"), F.when(F.col(c) == 1, "True").otherwise("false").alias("similarity"))
-    a = scoring.agreement(scoring.verdicts(side("quality", "quality = 1 or toxic = 0")), scoring.verdicts(side("toxic", "quality = 0 or toxic = 0")))
+    key = F.concat(F.lit("__"), F.floor(F.col("doc_id") / 7).cast("string"))
+    side = lambda c, keep: x.filter(keep).select("doc_id", key.alias("ground_truth"), F.when(F.col(c) == 1, "True").otherwise("false").alias("similarity"))
+    a = scoring.agreement(scoring.verdicts(side("quality", "quality = 1 or toxic = 0"), "doc_id"), scoring.verdicts(side("toxic", "quality = 0 or toxic = 0"), "doc_id"))
     return a.withColumn("ratio", F.round("ratio", 9))
 
 
@@ -494,7 +514,8 @@ def similar_rate(spark, d):
 
 @query
 def vector_verdicts(spark, d):
-    e = _t(spark, d, "embeddings").select("vec_id", scoring.vector_verdict(F.round(F.element_at("embedding", 1).cast("double") * 8, 6)).alias("v"))
+    whole = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double") * 0.8)
+    e = _t(spark, d, "embeddings").select("vec_id", scoring.vector_verdict(F.round(whole + F.element_at("embedding", 1).cast("double"), 6)).alias("v"))
     return e.select("vec_id", F.col("v.similarity").alias("similarity"), F.round("v.similarity_score", 4).alias("similarity_score"))
 
 
@@ -538,10 +559,17 @@ def model_replies(spark, d):
 # Code
 
 
+_LOOP = "  for (i = 0; i < n; i++)\n  {\n    a = FUN_00@K(i);\n    b += a;\n\n    c = 1;\n    d = 2;\n  }\n"
+_IF = "    if (m)\n    {\n      a = 1;\n      b = 2;\n      c = 3;\n      d = 4;\n    }\n"
+_BODIES = (_LOOP, _LOOP * 2, "  while (n)\n  {\n" + _IF + "  }\n" + _LOOP, "  while (n)\n  {\n" + "    n -= FUN_7(n);\n" * 8 + _IF + "  }\n")
+#: Four programs: a short one, two loops, a loop nearly covered by its only child, and one that is not.
+PROGRAMS = tuple('int run_@K(int n)\n{\n' + body + '  log("@H (");\n  return FUN_9(b) + FUN_00@K(1);\n}\n' for body in _BODIES)
+
+
 def _code(spark, d):
-    k = F.col("page_id").cast("string")
-    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit("  for (i = 0; i < n; i++)\n  {\n    a"), i.cast("string"), F.lit(" = FUN_00"), k, F.lit("(i);\n    b += a;\n\n    c = 1;\n    d = 2;\n  }\n"))), "")
-    return _t(spark, d, "pages").select("page_id", F.concat(F.lit("int run_"), k, F.lit("(int n)\n{\n"), body, F.lit("  return FUN_9(b) + FUN_00"), k, F.lit("(1);\n}\n")).alias("code"))
+    """Each page's digest inside one of the programs, chosen by the page's length."""
+    program = F.get(F.array(*[F.lit(p) for p in PROGRAMS]), F.length("html") % 4)
+    return _t(spark, d, "pages").select("page_id", F.replace(F.replace(program, F.lit("@K"), F.col("page_id").cast("string")), F.lit("@H"), F.md5("html")).alias("code"))
 
 
 @query

@@ -30,8 +30,10 @@ def documents(spark: SparkSession, paths: str | list[str], pattern: str = "*.jso
     there = _existing(spark, [paths] if isinstance(paths, str) else paths)
     if not there:
         return spark.createDataFrame([], "path string, value string")
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True)
-    return reader.text(there).select(F.col("_metadata.file_path").alias("path"), "value")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    # The metadata's path is a URI, in which a plus is itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return reader.text(there, wholetext=True).select(path.alias("path"), "value")
 
 
 def records(docs: DataFrame, value: str) -> DataFrame:
@@ -65,4 +67,4 @@ def score_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def template(spark: SparkSession, path: str) -> str:
     """A prompt file's text; fails if there is none."""
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]

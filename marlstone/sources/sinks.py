@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators.dedup import last_by
+from marlstone.sources import schemas
 from marlstone.sources.files import PLACE, _existing
 
 
@@ -27,8 +29,29 @@ def write_pairs(df: DataFrame, path: str, truth: str = "truth", prediction: str
     df.select(F.concat(F.col(truth), F.lit(", "), F.col(prediction), F.lit(",")).alias("value")).write.text(path)
 
 
+def write_parts(df: DataFrame, path: str, part: str) -> None:
+    """JSON lines in a folder per value of ``part``, the order in which ``merged_parts`` takes them."""
+    df.write.partitionBy(part).json(path)
+
+
+def merged_parts(spark: SparkSession, path: str, key: str, part: str, schema: str) -> DataFrame:
+    """The rows of all parts by key, those of later parts in place of earlier ones; the files' own order plays no part."""
+    rows = spark.read.schema(f"{schema}, `{part}` bigint").json(path)
+    return last_by(rows, key, part).drop(part)
+
+
+def registration(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """(dataset, section, name, value): what an external trainer is told of the chat records at path."""
+    rows = [(name, "", "file_name", path), (name, "", "formatting", schemas.CHAT_DATASET["formatting"])]
+    rows += [(name, section, k, v) for section in ("columns", "tags") for k, v in schemas.CHAT_DATASET[section].items()]
+    return spark.createDataFrame(rows, "dataset string, section string, name string, value string")
+
+
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key the table at path does not have; a rerun adds nothing."""
+    """Append rows whose key the table at path does not have; a rerun adds nothing.
+
+    The table's key column is read each time, and nothing else of it.
+    """
     spark = df.sparkSession
     if _existing(spark, [path]):
         df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")

@@ -104,7 +104,8 @@ def test_blocks():
     got = C.blocks(CODE, "run")
     assert [b["type"] for b in got] == ["for_statement"] * 3 + ["function_definition"]
     assert [(b["line_start"], b["line_end"]) for b in got[:3]] == [(4, 11), (11, 18), (18, 25)]
-    assert got[-1]["relation"] == ["1", "2", "3"] and got[-1]["block_code"].count("block 2") == 2
+    assert [b["block_id"] for b in got] == ["3", "2", "1", "run"]  # numbers fall to 1
+    assert got[-1]["relation"] == ["3", "2", "1"] and got[-1]["block_code"].count("block 2") == 2
     assert [b["type"] for b in C.blocks("int f()\n{\n}\n", "f")] == ["full_function"]
     assert C.blocks(None, "f")[0]["type"] == "full_function"
 
@@ -124,8 +125,45 @@ def test_demangle():
     assert C.demangle("_ZN3foo3barEv") == "foo::bar"
     assert C.demangle("x _Z3addii y") == "add"
     assert C.demangle("plain") == "plain"
+    assert C.demangle("_ZStlsISt11char_traitsIcEERSt13basic_ostreamIcT_ES5_PKc") == "std::basic_ostream<char, std::char_traits<char> >& std::operator<< <std::char_traits<char> >"
+    assert C.demangle("_Z3fooILi3EEvv") == "void foo<3>" and C.demangle("_ZN1AcviEv") == "A::operator int"
+    assert C.demangle("_Z1gv and _Z99x") == "g" and C.demangle(None) is None
 
 
 def test_udtf(spark):
     got = C.CodeBlocks(F.lit(CODE), F.lit("run")).collect()
-    assert [r["block_id"] for r in got] == ["1", "2", "3", "run"]
+    assert [r["block_id"] for r in got] == ["3", "2", "1", "run"]
+
+
+def test_numbers_by_level():
+    """Within a top-level block: itself, then each level from its last node; deeper levels later."""
+    pad = "        x++;\n" * 6
+    leaf = "      if (c)\n      {\n" + pad + "      }\n"
+    code = "void f()\n{\n  while (a)\n  {\n    for (;;)\n    {\n" + pad + leaf + leaf + "    }\n" + leaf + "  }\n  while (z)\n  {\n" + pad + "  }\n}\n"
+    got = {b["block_id"]: (b["type"], b["line_start"], b["relation"]) for b in C.blocks(code, "f")}
+    assert got["f"][2] == ["6", "1"] and got["6"] == ("while_statement", 2, ["4", "5"])
+    assert got["5"][:2] == ("if_statement", 31) and got["4"][:2] == ("for_statement", 4) and got["4"][2] == ["2", "3"]
+    assert got["3"][1] > got["2"][1] and got["1"][0] == "while_statement"
+
+
+def test_deep_code():
+    n = 3000
+    code = "int f()\n{\n" + "if (a)\n{\n" * n + "x = 1;\n" + "}\n" * n + "}\n"
+    assert len(C.structure_paths(code)) == 1 and C.blocks(code, "f")[-1]["type"] == "function_definition"
+    assert len(C.structure_paths("int f()\n{\n" + "if (a) ; else " * n + ";\n}\n")) > n
+
+
+def test_many_definitions_in_linear_time():
+    code = "".join(f"int f{i}(int a) {{ return g(a[{i}]); }}\n" for i in range(20_000))
+    assert C.mask_definitions(code).count("[MASK]") == 20_000
+
+
+def test_long_literals_paths_and_spaces(spark):
+    """Patterns that would take a stack frame or a second look for each character of a long run."""
+    n = 1_000_000
+    rows = [('x = "' + "a" * n + '"; // c', "y"), ("/" + "a/" * (n // 2) + "b", "p"), ("a" + " " * n + "b", "s"), ("\\" * n, "b")]
+    df = spark.createDataFrame(rows, "t string, k string")
+    got = {r["k"]: r for r in df.select("k", F.length(T.strip_comments(F.col("t"))).alias("c"), T.is_path(F.col("t")).alias("p"), F.length(T.strip(F.col("t"))).alias("s")).collect()}
+    assert got["y"]["c"] == n + 8 and got["p"]["p"] and not got["s"]["p"] and got["s"]["s"] == n + 2
+    ends = spark.createDataFrame([("  a b \n",), ("\u00a0x\t",), ("   ",), ("",)], "t string")
+    assert [r[0] for r in ends.select(T.strip(F.col("t"))).collect()] == ["a b", "x", "", ""]
\ No newline at end of file

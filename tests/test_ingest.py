@@ -14,9 +14,9 @@ def test_predicates(spark):
 def test_ids_and_types(spark):
     df = spark.createDataFrame([("puts", "0x1", True), ("f", "0x2", None), ("g", None, False)], "name string, address string, ext boolean")
     assert [r[0] for r in df.select(I.display_id(F.col("name"), F.col("address"), F.col("ext"))).collect()] == ["puts", "0x2", "EXT_g"]
-    edges = spark.createDataFrame([("f", "puts"), ("f", "h")], "caller string, callee string")
-    got = I.renamed_edges(edges, spark.createDataFrame([("f", "0x2"), ("puts", "puts")], "name string, id string")).collect()
-    assert sorted(map(tuple, got)) == [("0x2", "h"), ("0x2", "puts")]
+    edges = spark.createDataFrame([("a", "f", "puts"), ("a", "f", "h"), ("b", "f", "h")], "binary string, caller string, callee string")
+    ids = spark.createDataFrame([("a", "f", "0x2"), ("a", "puts", "puts"), ("b", "h", "0x9")], "binary string, name string, id string")
+    assert sorted(map(tuple, I.renamed_edges(edges, ids, ["binary"]).collect())) == [("a", "0x2", "h"), ("a", "0x2", "puts"), ("b", "f", "0x9")]
     t = spark.createDataFrame([("foo_t **", "int"), ("char *", None), ("int", "int")], "n string, b string")
     assert [r[0] for r in t.select(I.type_label(F.col("n"), F.col("b"))).collect()] == ["int *", "char *", "int"]
 

@@ -48,14 +48,43 @@ def test_split_is_whole_and_stable(spark):
 
 
 def test_closure(spark):
-    e = lambda *p: spark.createDataFrame(list(p), "caller string, callee string")
-    ext = spark.createDataFrame([("puts",)], "symbol string")
-    got = {r["func"]: (r["callee_internal"], r["caller"]) for r in graph.closed(e(("a", "b"), ("a", "a")), e(("c", "b"), ("c", "puts")), ext).collect()}
+    e = lambda *p: spark.createDataFrame([("x", *q) for q in p], "binary string, caller string, callee string")
+    ext, keys = spark.createDataFrame([("puts",)], "symbol string"), ["binary"]
+    got = {r["func"]: (r["callee_internal"], r["caller"]) for r in graph.closed(e(("a", "b"), ("a", "a")), e(("c", "b"), ("c", "puts")), keys, ext).collect()}
     assert got == {"a": (["a", "b"], ["a"]), "b": ([], ["a", "c"]), "c": (["b"], []), "puts": ([], ["c"])}
-    one_way = {r["func"]: (r["callee_internal"], r["caller"]) for r in graph.closed(e(("a", "b")), e(("c", "b")), two_way=False).collect()}
+    one_way = {r["func"]: (r["callee_internal"], r["caller"]) for r in graph.closed(e(("a", "b")), e(("c", "b")), keys, two_way=False).collect()}
     assert one_way == {"a": (["b"], []), "b": ([], ["a", "c"])}
 
 
+def test_equal_names_in_two_binaries(spark):
+    e = graph.edges(spark.createDataFrame([("x", "main", "f"), ("y", "main", "g"), ("x", "main", "f")], "binary string, a string, b string"), "a", "b", ["binary"])
+    assert sorted((r["binary"], r["func"], tuple(r["callee_internal"])) for r in graph.adjacency(e, ["binary"]).collect()) == [("x", "main", ("f",)), ("y", "main", ("g",))]
+    own = spark.createDataFrame([("y", "g")], "binary string, symbol string")
+    assert sorted(map(tuple, graph.classified(e, own, ["binary"]).collect())) == [("x", "main", "f", "internal"), ("y", "main", "g", "external")]
+
+
+def test_replayed_splits(spark):
+    names, saved = spark.range(50).select(F.col("id").alias("n")), spark.createDataFrame([(1, "test"), (2, "train"), (99, "train")], "n long, split string")
+    got = {r["n"]: r["split"] for r in dedup.replayed(names, "n", saved).collect()}
+    assert len(got) == 50 and got[1] == "test" and got[2] == "train" and 99 not in got
+
+
+def test_snippets(spark):
+    blocks = spark.createDataFrame([("f", "1", 0, "a"), ("f", "2", 1, "b"), ("f", "3", 2, "c"), ("g", "1", 0, "d")], "func string, block string, pos int, output string")
+    matches = spark.createDataFrame([("f", "1", "9", "x"), ("f", "3", "9", "y"), ("g", "1", "1", "z")], "func string, block string, other_block string, other_code string")
+    functions = spark.createDataFrame([("f", "F"), ("g", "G"), ("h", "H")], "func string, output string")
+    got = {r["func"]: (r["input"], r["output"], [tuple(h) for h in r["history"]]) for r in align.snippets(blocks, functions, matches, spark.createDataFrame([("f", "cf"), ("h", "ch")], "func string, code string")).collect()}
+    assert got == {"f": ("cf", "F", [("9", "y", "c")]), "h": ("ch", "H", [])}
+
+
+def test_processes(spark):
+    from marlstone.sources import processes
+
+    paths = spark.createDataFrame([("a b; echo $x",), (None,)], "p string")
+    r = processes.outputs(paths, "p", {"said": "printf %s {path}", "late": "sleep 5"}, timeout=0.3).collect()
+    assert [(x["path"], x["said"], x["late"]) for x in r] == [("a b; echo $x", "a b; echo $x", processes.TOO_LONG)]
+
+
 def test_inline_keeps_unmatched_lists(spark):
     f = spark.createDataFrame([("x", "f", "cf", ["main", "g", "nope", "h"]), ("x", "g", "cg", ["nope"]), ("x", "h", "ch", None)], "binary string, name string, code string, near array<string>")
     got = {r["name"]: [(n["kind"], n["name"], n["text"]) for n in r["near"]] for r in graph.inline(f, ["binary"], "name", "code", "near", "name", pairing.SKIP_INLINE).collect()}
@@ -86,7 +115,7 @@ def test_scores(spark):
     assert m([(0, 0, 3)])["f1"] == 0.0 and m([(0, 0, 3)])["precision"] == 0.0
     v = spark.createDataFrame([("A__b", "True", 0), ("a_b", "false", 1), (" ", "true", 2), (None, "true", 3)], "ground_truth string, similarity string, o int")
     assert [(r["key"], r["similar"]) for r in scoring.verdicts(v, order="o").collect()] == [("a_b", False)]
-    none = scoring.agreement(scoring.verdicts(v.limit(0)), scoring.verdicts(v.limit(0))).first()
+    none = scoring.agreement(scoring.verdicts(v.limit(0), "o"), scoring.verdicts(v.limit(0), "o")).first()
     assert none["n_common"] == 0 and none["ratio"] == 0.0
     x = spark.range(1).select(scoring.vector_verdict(F.lit(0.69999)).alias("v")).first()["v"]
     assert (x["similarity"], x["similarity_score"]) == (False, 0.7)
@@ -128,6 +157,9 @@ def test_files_round_trip(spark, tmp_path):
     assert files.malformed(docs, schemas.CALLS).count() == 1
     assert files.documents(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "list.json").write_text('[{"f": {"code": "x"}}, {"g": {"code": "y"}}]')
+    (tmp_path / "a b+c.json").write_text('{"f":\n {"caller": ["a"]}}')
+    odd = files.records(files.documents(spark, str(tmp_path / "a b+c.json")), schemas.CALLS).first()
+    assert odd["path"].endswith("/a b+c.json") and odd["caller"] == ["a"]
     assert [r["key"] for r in files.record_lists(files.documents(spark, str(tmp_path / "list.json")), schemas.SIDE).collect()] == ["f", "g"]
     (tmp_path / "s.txt").write_text("a b, a c,\n")
     assert files.score_lines(spark, str(tmp_path / "s.txt")).first()["prediction"] == " a c"
@@ -143,5 +175,5 @@ def test_append_new_and_stream(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(8))
     spark.range(6, 12).write.parquet(src)
     stream = spark.readStream.schema("id long").parquet(src)
-    incremental.append_batches(stream, out, "id", str(tmp_path / "cp")).awaitTermination()
+    incremental.append_batches(stream, out, "id", ["id"], str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(12))

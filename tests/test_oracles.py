@@ -1,8 +1,8 @@
 import pytest
 from comparing import assert_same
 
-from marlstone.oracles import SQL
-from marlstone.queries import QUERIES
+from marlstone.edge_oracles import SQL
+from marlstone.edge_queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,8 +16,8 @@ def test_query(spark, name):
         assert df.count() > 0
 
 
-def test_every_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_has_its_sql():
+    assert set(SQL) == set(QUERIES)
 
 
 def test_entry(spark):
