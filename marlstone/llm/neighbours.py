@@ -36,10 +36,10 @@ from marlstone.plans.storage import Cut, cut
 K = 40  #: neighbours of each vector in the graph
 PIVOTS = 65_536
 BLOCK = 512
-SETTLED = 0.02  #: share of changed links below which NN-descent ends
+SETTLED = 0.06  #: share of changed links below which NN-descent ends
 SENT = 10  #: better neighbours that a block reports for a vector
 POOL = 80
-WIDTH = 24
+WIDTH = 40
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
