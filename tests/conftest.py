@@ -17,3 +17,12 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def cuts_of_a_test():
+    """What a test's queries write to the shared folder goes with the test."""
+    from marlstone.plans import storage
+
+    with storage.scope():
+        yield
