@@ -4,9 +4,12 @@
    many documents of some task (at most ``HEAVY`` are kept; they only set an order, so no result depends on them).
 2. Prefix filter. In the order (heavy last, then by id, which puts shingles of long words first) two sets with Jaccard >= t share one of the first
    n - ceil(t n) + 1 elements of each. Documents are dealt out by those elements; equal sets count once per task.
-3. Groups. The members of an element's list are put into the group of the list's smallest class; every linking pair
-   meets in such a group. Groups over ``GROUP`` members are cut into parts that meet pairwise, so no task holds more
-   than two parts; members are dealt out by (group, part, part) straight from where they are read, never by group.
+3. Groups. The members of an element's list are put into the group of the list's smallest class, its hub; every linking
+   pair meets in such a group. Of a group over ``GROUP`` members, each member is first compared with the hub alone (of
+   the largest such group it is in), exactly, ``STAR`` members in a task: near copies, which make such groups, mostly link
+   with it. What is joined so needs no comparing with each other. The rest is cut into parts that meet pairwise, except
+   parts of one joined set among themselves, so work grows with a group's size times its members that stand apart.
+   Members are dealt out by (group, part, part) straight from where they are read, never by group.
 4. Signature trees. A group's members, ordered by size band and first shingle, are the leaves of a tree whose nodes
    hold OR-combined bitmaps, size ranges and the largest number of shingles that share bits. A dual traversal of the
    tree with itself skips node pairs whose sizes are too far apart or whose largest possible overlap is too small.
@@ -37,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.llm.batches import slices
@@ -48,7 +52,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4  #: link when DEN * intersection >= NUM * union
 HEAVY = 1 << 18
 GROUP = 1024
-CUT_GROUPS = 1 << 18  #: groups of several parts up to which the number of their parts is broadcast
+STAR = 128  #: members that are compared with their hub in one task
+CUT_GROUPS = 1 << 18  #: groups of several parts up to which tables of them are broadcast
 LEAF = 16
 POSTINGS = 1_000_000  #: rows of a task that groups element lists
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -453,7 +458,68 @@ def _verified(batches) -> Iterator[pa.RecordBatch]:
             for a, b in group_links(members):
                 yield (*a, *b)
 
-    yield from _batches(found(), ["a1", "a2", "b1", "b2"])
+    yield from _batches(found(), LINK)
+
+
+def _starred(batches) -> Iterator[pa.RecordBatch]:
+    """From rows (hub, part, member, text), a hub's own text first: links of members with their hub."""
+
+    def found():
+        for _, rows in _runs(batches, 2):
+            hub = shingle_set(rows[0][1])
+            a = _class(hub)
+            for _, text in rows[1:]:
+                s = shingle_set(text)
+                b = _class(s)
+                both = len(np.intersect1d(hub, s, assume_unique=True))
+                if a != b and DEN * both >= NUM * (len(hub) + len(s) - both):
+                    yield (*a, *b)
+
+    yield from _batches(found(), LINK)
+
+
+LINK = ["a1", "a2", "b1", "b2"]
+LINKS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
+
+
+def _nodes(links: DataFrame) -> DataFrame:
+    return links.select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b"))
+
+
+def _meetings(groups: DataFrame, big: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
+    """(hub, i, j, part, c1): the parts of groups that meet; and links found on the way. ``big``: (hub, members) of groups
+    over GROUP, a written table."""
+    n = big.count()
+    if not n:
+        return groups.select("hub", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "c1"), None
+    small = lambda df: F.broadcast(df) if n <= CUT_GROUPS else df
+    mine = groups.join(small(big), "hub")
+    star = Cut(mine.groupBy("c1").agg(F.max_by("hub", F.struct("members", "hub")).alias("hub")).filter("c1 <> hub"), "star")
+    units = star.df.join(small(big), "hub").withColumn("part", F.pmod(F.xxhash64("c1"), F.ceil(F.col("members") / STAR)).cast("int")).select("hub", "part", "c1")
+    heads = units.select("hub", "part", F.col("hub").alias("c1")).distinct()
+    rows = units.withColumn("member", F.lit(True)).unionByName(heads.withColumn("member", F.lit(False)))
+    rows = rows.join(classes.select("c1", "keeper.*"), "c1").join(texts, KEY).select("hub", "part", "member", "text")
+    links = Cut(rows.repartition(width, "hub", "part").sortWithinPartitions("hub", "part", "member").mapInArrow(_starred, LINKS), "star-links")
+    star.drop()
+    joined = components(_nodes(links.df)).select(F.col("node.c1").alias("c1"), F.col("component.c1").alias("set"))
+    mine = Cut(mine.select("hub", "c1").join(joined, "c1", "left").withColumn("set", F.coalesce("set", "c1")), "members")
+    # Sets of a group: large ones have parts of their own, the members of the others share the parts that follow.
+    sets = mine.df.groupBy("hub", "set").agg(F.count("*").alias("n"))
+    apart = sets.groupBy("hub").agg(F.count("*").alias("sets"), F.sum(F.when(F.col("n") <= GROUP, F.col("n")).otherwise(0)).alias("rest")).filter("sets > 1")
+    large = sets.filter(F.col("n") > GROUP).withColumn("own", F.ceil(F.col("n") / GROUP).cast("int"))
+    order = W.partitionBy("hub").orderBy("set")
+    large = Cut(large.select("hub", "set", "own", (F.sum("own").over(order) - F.col("own")).cast("int").alias("first")), "large-sets")
+    shared = F.ceil(F.col("rest") / GROUP).cast("int")
+    total = large.df.groupBy("hub").agg(F.sum("own").cast("int").alias("owned"))
+    hubs = Cut(apart.join(total, "hub", "left").select("hub", F.coalesce("owned", F.lit(0)).alias("owned"), shared.alias("shared")), "parts")
+    m = mine.df.join(small(hubs.df), "hub").join(large.df, ["hub", "set"], "left")
+    part = F.when(F.col("own").isNotNull(), F.col("first") + F.pmod(F.xxhash64("c1"), F.col("own"))).otherwise(F.col("owned") + F.pmod(F.xxhash64("c1", F.lit(1)), F.col("shared")))
+    m = m.withColumn("part", part.cast("int"))
+    met = F.expr("""transform(filter(sequence(0, owned + shared - 1), x -> own is null or x < first or x >= first + own),
+        x -> struct(least(x, part) as i, greatest(x, part) as j))""")
+    met = m.withColumn("ij", F.explode(met)).select("hub", "ij.i", "ij.j", "part", "c1")
+    few = groups.join(small(big.select("hub")), "hub", "left_anti")
+    return few.select("hub", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "c1").unionByName(met), links.df
 
 
 #: What tells rows apart: the id (or that it is null) and a fingerprint of the text.
@@ -489,21 +555,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     # Equal classes of different tasks have equal signatures.
     marks = table.df.filter("bits is not null").groupBy("c1").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("bits").alias("bits"))
     big = groups.df.groupBy("hub").agg(F.count("*").alias("members")).filter(F.col("members") > GROUP)
-    big = Cut(big.select("hub", F.ceil(F.col("members") / GROUP).cast("int").alias("parts")), "parts")
-    parts = F.broadcast(big.df) if big.df.count() <= CUT_GROUPS else big.df
-    m = groups.df.join(parts, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("c1"), F.col("parts")).cast("int"))
-    pair = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, part) as i, greatest(x, part) as j))")
-    m = m.withColumn("ij", F.explode(pair)).select("hub", "ij.i", "ij.j", "part", "c1").join(marks, "c1").select("hub", "i", "j", "part", "c1", "n", "lead", "bits")
+    big = Cut(big, "big-groups")
+    # One text per class; rows that are alike in id and text are combined before they are dealt out.
+    texts = d.filter(F.col("text").isNotNull()).groupBy(*KEY).agg(F.first("text").alias("text"))
+    m, known = _meetings(groups.df, big.df, texts, classes, width)
+    m = m.join(marks, "c1").select("hub", "i", "j", "part", "c1", "n", "lead", "bits")
     m = m.repartition(width, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     sets = Cut(m.mapInArrow(_candidates, "g bigint, c1 bigint").distinct(), "candidates")
     for x in (groups, big, table):
         x.drop()
-    # One text per member; rows that are alike in id and text are combined before they are dealt out.
     wanted = sets.df.join(classes.select("c1", "keeper.*"), "c1").select("g", *KEY)
-    texts = d.filter(F.col("text").isNotNull()).groupBy(*KEY).agg(F.first("text").alias("text"))
     x = wanted.join(texts, KEY).select("g", "text").repartition(width, "g").sortWithinPartitions("g")
-    links = x.mapInArrow(_verified, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
-    found = components(links.select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b")))
+    links = x.mapInArrow(_verified, LINKS)
+    found = components(_nodes(links if known is None else links.unionByName(known)))
     sets.drop()
     linked = classes.join(found.select("node.*", "component"), ["c1", "c2"])
     whole = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.min("keeper").alias("first"))

@@ -260,6 +260,29 @@ def test_jaccard_brute_force(spark, monkeypatch, seed, group):
     assert got == brute_components(texts)
 
 
+def test_jaccard_large_groups(spark, monkeypatch):
+    """Groups of many near copies, some that drift away from their hub, and a passage that all share."""
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    monkeypatch.setattr(jaccard, "STAR", 3)
+    rng = np.random.default_rng(9)
+    words, texts = [f"word{i}" for i in range(300)], {}
+    passage = [str(w) for w in rng.choice(words, 40)]
+    for g in range(3):
+        t = [str(w) for w in rng.choice(words, 90)]
+        for _ in range(45):
+            if g == 2:  # each a step from the one before
+                t = list(t)
+                t[int(rng.integers(len(t)))] = str(rng.choice(words))
+                own = t
+            else:
+                own = list(t)
+                for _ in range(int(rng.integers(0, 3))):
+                    own[int(rng.integers(len(own)))] = str(rng.choice(words))
+            texts[len(texts)] = " ".join(passage + own)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_components(texts) and len({c for _, c in got.values()}) < 30
+
+
 def test_word_hashes_across_chunks(monkeypatch):
     raw = ("ab cde  f\tghijklm " * 40 + "x" * 300).encode()
     whole = jaccard.word_hashes(raw)
