@@ -293,7 +293,7 @@ def stream_append(spark, d):
     path, marks = _path(spark, "streamed"), _path(spark, "marks")
     stream = _event_files(spark, d)
     for k in (1, 2):
-        incremental.append_batches(stream, path, "user_id", ["event_id"], f"{marks}/{k}").awaitTermination()
+        incremental.append_batches(stream, path, "user_id", ["event_id"], f"{marks}/{k}", buckets=4).awaitTermination()
     return spark.read.parquet(path).groupBy("user_id").agg(F.count("*").alias("n"))
 
 

@@ -47,12 +47,19 @@ def registration(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, section string, name string, value string")
 
 
-def append_new(df: DataFrame, path: str, key: str) -> None:
+def append_new(df: DataFrame, path: str, key: str, buckets: int = 0) -> None:
     """Append rows whose key the table at path does not have; a rerun adds nothing.
 
-    The table's key column is read each time, and nothing else of it.
+    Of the table its key column is read, and with ``buckets`` (the same in each run) only that of the folders in which the
+    rows' keys may lie: the table then has a partition column ``key_bucket``, and the work follows the rows, not the table.
     """
     spark = df.sparkSession
+    if buckets:
+        df = df.withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     if _existing(spark, [path]):
-        df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    df.write.mode("append").parquet(path)
+        table = spark.read.parquet(path)
+        if buckets:
+            table = table.filter(F.col("key_bucket").isin([r[0] for r in df.select("key_bucket").distinct().collect()]))
+        df = df.join(table.select(key).distinct(), key, "left_anti")
+    writer = df.write.mode("append")
+    (writer.partitionBy("key_bucket") if buckets else writer).parquet(path)

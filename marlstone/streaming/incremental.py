@@ -11,14 +11,14 @@ from marlstone.operators.dedup import first_by
 from marlstone.sources.sinks import append_new
 
 
-def append_batches(stream: DataFrame, path: str, key: str, order: list[str], checkpoint: str, step: Callable[[DataFrame], DataFrame] = lambda df: df, once: bool = True) -> StreamingQuery:
+def append_batches(stream: DataFrame, path: str, key: str, order: list[str], checkpoint: str, step: Callable[[DataFrame], DataFrame] = lambda df: df, once: bool = True, buckets: int = 0) -> StreamingQuery:
     """Run ``step`` on each micro-batch and append rows of unseen keys, the first by ``order``, to the table at path.
 
     A batch that is replayed after a failure finds its keys there, so every key is written once.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        append_new(step(first_by(batch, key, order)), path, key)
+        append_new(step(first_by(batch, key, order)), path, key, buckets)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -173,6 +173,10 @@ def test_append_new_and_stream(spark, tmp_path):
     sinks.append_new(spark.range(5), out, "id")
     sinks.append_new(spark.range(8), out, "id")
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(8))
+    wide = str(tmp_path / "wide")
+    for n in (3, 40, 30):
+        sinks.append_new(spark.range(n), wide, "id", buckets=5)
+    assert sorted(r["id"] for r in spark.read.parquet(wide).collect()) == list(range(40))
     spark.range(6, 12).write.parquet(src)
     stream = spark.readStream.schema("id long").parquet(src)
     incremental.append_batches(stream, out, "id", ["id"], str(tmp_path / "cp")).awaitTermination()
