@@ -283,7 +283,7 @@ def _event_files(spark, d) -> DataFrame:
     """Events as a stream of several files."""
     path = _path(spark, "stream")
     events = _t(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
-    events.repartition(4, "event_id").write.parquet(path)
+    events.repartition(2, "event_id").write.parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
