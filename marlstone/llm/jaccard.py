@@ -51,7 +51,7 @@ from marlstone.plans.storage import Cut, cut
 SHINGLE = 5
 NUM, DEN = 3, 4  #: link when DEN * intersection >= NUM * union
 HEAVY = 1 << 18
-GROUP = 1024
+GROUP = 256
 STAR = 128  #: members that are compared with their hub in one task
 CUT_GROUPS = 1 << 18  #: groups of several parts up to which tables of them are broadcast
 LEAF = 16
