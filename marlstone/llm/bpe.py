@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import slices
+from marlstone.llm.batches import bound_batches, slices
 from marlstone.plans.rows import col
 
 RUN = 200_000  #: pre-tokens of a text that are held at once
@@ -252,6 +252,7 @@ def digests(text_runs: Iterator[list[str]], by_decimal: dict[str, bytes]) -> tup
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of each row; decoding reads the ids, not the text."""
     spark = docs.sparkSession
+    bound_batches(spark)
     file = spark.sparkContext.broadcast(load_file(ranks_path))
     src = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType
@@ -274,6 +275,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``ids array<int>`` of each row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     file = spark.sparkContext.broadcast(load_file(ranks_path))
     src = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
 
@@ -290,6 +292,7 @@ def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 def decode_ids(encoded_rows: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and the text that ``ids`` stand for (bytes that are no UTF-8 become U+FFFD); null ids: empty text."""
     spark = encoded_rows.sparkSession
+    bound_batches(spark)
     file = spark.sparkContext.broadcast(load_file(ranks_path))
     src = encoded_rows.select(col(id_col).alias("doc_id"), col(ids_col).alias("ids"))
 

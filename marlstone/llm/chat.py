@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import slices
+from marlstone.llm.batches import bound_batches, slices
 from marlstone.plans.rows import col
 from marlstone.plans.sampling import hash_filter
 
@@ -148,6 +148,7 @@ def _turns(value) -> list[tuple[str, str]]:
 
 def transcripts(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns, text): each conversation's turns in order, and the transcript they are written as."""
+    bound_batches(conversations.sparkSession)
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text").alias("t"))
     g = c.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("turns"))
     g = g.unionByName(c.filter("conv_id is null").select("conv_id", F.array("t").alias("turns")))
@@ -193,6 +194,7 @@ def fit(written: DataFrame, sample: int = SAMPLE) -> Model:
 
 def format_transcripts(rows: DataFrame, model: Model, id_col: str = "conv_id", text_col: str = "text") -> DataFrame:
     """id, n_turns, roles (comma-joined), text (canonical) and its sha256, of each transcript."""
+    bound_batches(rows.sparkSession)
     src = rows.select(col(id_col).cast("long").alias("conv_id"), col(text_col).alias("text"))
     known = rows.sparkSession.sparkContext.broadcast(model)
 

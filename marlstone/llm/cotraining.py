@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import slices
+from marlstone.llm.batches import bound_batches, slices
 from marlstone.plans.sampling import hash_sample
 from marlstone.plans.storage import Cut
 
@@ -177,6 +177,7 @@ class CoTrained:
 
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, t, m): both views' features of every document."""
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
 
     def run(batches):

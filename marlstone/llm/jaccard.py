@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import slices
+from marlstone.llm.batches import bound_batches, slices
 from marlstone.llm.components import components
 from marlstone.plans.rows import col, packed, unpacked
 from marlstone.plans.storage import Cut, cut
@@ -535,6 +535,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     """The rows (doc_id, fp, n, c1, c2), and the classes (c1, c2, component_id, keeper): ``keeper`` is the KEY of the
     component's first row, by doc_id (nulls last) and fingerprint."""
     spark = docs.sparkSession
+    bound_batches(spark)
     d = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), *[c.alias(k) for k, c in _keyed(docs, id_col, text_col).items()])
     heavy = heavy_shingles(d)
     table = Cut(sets_table(d, heavy), "sets")

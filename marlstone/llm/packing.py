@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe
-from marlstone.llm.batches import slices
+from marlstone.llm.batches import bound_batches, slices
 from marlstone.plans.rows import col
 
 CONTEXT = 8192
@@ -129,6 +129,7 @@ def pack(docs: DataFrame, vocabulary=None, context: int = CONTEXT, id_col: str =
     vocabulary = ByteIds() if vocabulary is None else vocabulary
     size = vocabulary.size
     width = 2 if size + 2 <= 1 << 16 else 4
+    bound_batches(docs.sparkSession)
     src = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
 
     def run(batches):

@@ -408,6 +408,22 @@ def test_packing_width_follows_the_vocabulary(spark):
         packing.pack(d, Some(60_000)).collect()
 
 
+def test_bounds_that_a_caller_has_set_stay(spark):
+    from marlstone.llm import batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "777")
+        batches.bound_batches(spark)
+        assert spark.conf.get(key) == "777"
+        spark.conf.unset(key)
+        batches.bound_batches(spark)
+        assert spark.conf.get(key) == str(batches.ROWS)
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def test_long_texts_have_the_same_ids(monkeypatch):
     vocabulary = packing.BpeIds(RANKS, public_tokenizers.PATTERN)
     text = " ".join(f"wörd{i}  x" for i in range(500)) + "\n" * 50
