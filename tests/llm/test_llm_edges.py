@@ -261,9 +261,8 @@ def test_jaccard_brute_force(spark, monkeypatch, seed, group):
 
 
 def test_jaccard_large_groups(spark, monkeypatch):
-    """Groups of many near copies, some that drift away from their hub, and a passage that all share."""
+    """Groups of many near copies, some that drift away from each other, and a passage that all share."""
     monkeypatch.setattr(jaccard, "GROUP", 8)
-    monkeypatch.setattr(jaccard, "STAR", 3)
     rng = np.random.default_rng(9)
     words, texts = [f"word{i}" for i in range(300)], {}
     passage = [str(w) for w in rng.choice(words, 40)]
