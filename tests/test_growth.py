@@ -11,7 +11,7 @@ def _planned(df) -> str:
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["first_n_neighbors", "neighbor_inline"])
+@pytest.mark.parametrize("name", ["first_n_neighbors", "neighbor_inline", "neighbor_inline_always"])
 def test_code_of_neighbours_is_not_broadcast(spark, name):
     plan = _planned(QUERIES[name](spark, SF))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
