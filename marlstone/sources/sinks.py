@@ -30,12 +30,15 @@ def write_pairs(df: DataFrame, path: str, truth: str = "truth", prediction: str
 
 
 def write_parts(df: DataFrame, path: str, part: str) -> None:
-    """JSON lines in a folder per value of ``part``, the order in which ``merged_parts`` takes them."""
-    df.write.partitionBy(part).json(path)
+    """JSON lines that tell their part, by whose values ``merged_parts`` takes them. Files follow the rows' partitions: a
+    folder per value would make a file per value and task, and their number, not the rows, would set the time."""
+    df.withColumn(part, F.col(part).cast("bigint")).write.json(path)
 
 
 def merged_parts(spark: SparkSession, path: str, key: str, part: str, schema: str) -> DataFrame:
-    """The rows of all parts by key, those of later parts in place of earlier ones; the files' own order plays no part."""
+    """The rows of all parts by key, those of later parts in place of earlier ones; the files' own order plays no part.
+
+    Lines tell their part, or lie in a folder named for it."""
     rows = spark.read.schema(f"{schema}, `{part}` bigint").json(path)
     return last_by(rows, key, part).drop(part)
 

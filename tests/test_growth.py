@@ -3,6 +3,7 @@
 import pytest
 
 from marlstone.edge_queries import QUERIES
+from marlstone.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,3 +16,19 @@ def _planned(df) -> str:
 def test_code_of_neighbours_is_not_broadcast(spark, name):
     plan = _planned(QUERIES[name](spark, SF))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_files_of_parts_follow_rows_not_parts(spark, tmp_path):
+    rows = spark.range(3000, numPartitions=3).selectExpr("id div 10 as part", "id % 7 as key", "id as value")
+    path = str(tmp_path / "parts")
+    sinks.write_parts(rows.dropDuplicates(["part", "key"]).repartition(3), path, "part")
+    assert len(list((tmp_path / "parts").rglob("part-*"))) <= 3
+    got = sinks.merged_parts(spark, path, "key", "part", "key bigint, value bigint").collect()
+    assert sorted(r["key"] for r in got) == list(range(7)) and {r["value"] // 10 for r in got} <= {298, 299}
+
+
+def test_parts_in_folders_are_merged_too(spark, tmp_path):
+    rows = spark.createDataFrame([(9, 1, "old"), (10, 1, "new"), (9, 2, "only")], "part bigint, key bigint, value string")
+    rows.write.partitionBy("part").json(str(tmp_path / "parts"))
+    got = sinks.merged_parts(spark, str(tmp_path / "parts"), "key", "part", "key bigint, value string").collect()
+    assert sorted((r["key"], r["value"]) for r in got) == [(1, "new"), (2, "only")]
