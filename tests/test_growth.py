@@ -1,8 +1,10 @@
 """Steps whose memory or time must not grow faster than the tables."""
 
+import pandas as pd
 import pytest
 
 from marlstone.edge_queries import QUERIES
+from marlstone.operators import models
 from marlstone.sources import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +34,32 @@ def test_parts_in_folders_are_merged_too(spark, tmp_path):
     rows.write.partitionBy("part").json(str(tmp_path / "parts"))
     got = sinks.merged_parts(spark, str(tmp_path / "parts"), "key", "part", "key bigint, value string").collect()
     assert sorted((r["key"], r["value"]) for r in got) == [(1, "new"), (2, "only")]
+
+
+def test_judging_makes_a_frame_per_batch_and_a_request_per_pair(spark):
+    """Nothing is made anew for each pair but its request; a request that fails spoils its own pair alone."""
+
+    class Rows:
+        """Stands for the table: runs what is mapped over it here, on one frame."""
+
+        schema = {"id": spark.range(1).schema["id"]}
+        select = lambda self, *_: self
+
+        def mapInPandas(self, run, _):  # noqa: N802  Spark's name
+            self.out = list(run(iter([pd.DataFrame({"id": range(500), "prompt": [str(k) for k in range(500)]})])))
+
+    asked = []
+
+    def client(prompts):
+        asked.append(prompts)
+        if prompts == ["7"]:
+            raise OSError("busy")
+        return [(p, None) for p in prompts]
+
+    rows = Rows()
+    models.complete(rows, "id", "prompt", lambda: client, batch=1)
+    assert len(asked) == 500 and all(len(p) == 1 for p in asked)
+    assert len(rows.out) == 1
+    got = rows.out[0]
+    assert got["id"].tolist() == list(range(500))
+    assert got["error"].dropna().to_dict() == {7: "busy"} and got["reply"].drop(7).tolist() == [str(k) for k in range(500) if k != 7]
