@@ -4,6 +4,7 @@ shared folder, read back by the library's readers, and deleted with the scope.""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions import code as C
@@ -117,15 +118,19 @@ def process_outputs(spark, d):
 
 
 def _dumped(spark, d, value) -> DataFrame:
-    """Orders as functions in JSON dumps of ten binaries a status, as (path, value)."""
+    """Orders as functions in JSON dumps of ten binaries a status, as (path, first, value)."""
     f = _functions(spark, d).withColumn("binary", (F.col("o_custkey") % 10).cast("string"))
-    f = f.select("arch", "opt", "project", "binary", F.struct("o_orderkey", value.alias("pair")).alias("r"))
-    f = f.groupBy("arch", "opt", "project", "binary").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["pair"]), ","), F.lit("}")).alias("value"))
+    place = F.concat_ws("/", "arch", "opt", "project", F.concat("binary", F.lit(".json")))
+    f = f.select(place.alias("place"), "o_orderkey", value.alias("pair"))
+    # A line per record, so that no task holds a binary; the first opens the object, the last closes it.
+    w = W.partitionBy("place").orderBy("o_orderkey")
+    opens, ends = F.row_number().over(w) == 1, F.lead("o_orderkey").over(w).isNull()
+    f = f.select("place", "o_orderkey", F.concat(F.when(opens, "{").otherwise(","), "pair", F.when(ends, "}").otherwise("")).alias("value"))
     path = _path(spark, "dump")
-    f.select(F.concat_ws("/", "arch", "opt", "project", F.concat("binary", F.lit(".json"))).alias("place"), "value").write.partitionBy("place").text(path)
-    docs = files.documents(spark, path, "*.txt")
+    f.sortWithinPartitions("place", "o_orderkey").select("place", "value").write.partitionBy("place").text(path)
+    docs = files.objects(spark, path, "*.txt")
     # A folder's name stands for the dump's own path.
-    return docs.select(F.url_decode(F.regexp_extract("path", "place=([^/]+)/", 1)).alias("path"), "value")
+    return docs.select(F.url_decode(F.regexp_extract("path", "place=([^/]+)/", 1)).alias("path"), "first", "value")
 
 
 def _keyed(record):

@@ -1,11 +1,13 @@
 """Steps whose memory or time must not grow faster than the tables."""
 
+import json
+
 import pandas as pd
 import pytest
 
 from marlstone.edge_queries import QUERIES
 from marlstone.operators import models
-from marlstone.sources import sinks
+from marlstone.sources import files, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +65,50 @@ def test_judging_makes_a_frame_per_batch_and_a_request_per_pair(spark):
     got = rows.out[0]
     assert got["id"].tolist() == list(range(500))
     assert got["error"].dropna().to_dict() == {7: "busy"} and got["reply"].drop(7).tolist() == [str(k) for k in range(500) if k != 7]
+
+
+_ODD = {f'f{k} {{é"': {"s": '}{"],\\ \n' * (k % 5), "n": [[k], {"x": {}}]} for k in range(40)}
+
+
+def _cut(text: str, block: int) -> list[tuple[int, dict]]:
+    data = text.encode()
+    cutter = files._Cutter("p", len(data))
+    read = data if data.endswith(b"}") else data + b"}"  # as pieces are joined
+    for a in range(0, len(read), block):
+        cutter.take(read[a : a + block])
+    return [(b["first"][0].as_py(), json.loads(b["value"][0].as_py())) for b in cutter.objects()]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 100000])
+@pytest.mark.parametrize("indent", [None, 4])
+def test_a_dump_is_cut_between_records_wherever_blocks_end(monkeypatch, block, indent):
+    monkeypatch.setattr(files, "OBJECT", 200)
+    got = _cut(json.dumps(_ODD, indent=indent, ensure_ascii=False), block)
+    assert len(got) > 5 and max(len(v) for _, v in got) < 10
+    assert [kv for _, v in got for kv in v.items()] == list(_ODD.items())
+    assert [first for first, _ in got] == [sum(len(v) for _, v in got[:k]) for k in range(len(got))]
+
+
+@pytest.mark.parametrize("size", [10, 1000])
+def test_a_malformed_dump_gives_no_rows(monkeypatch, size):
+    monkeypatch.setattr(files, "OBJECT", size)
+    good = '{"a": {"x": 1}, "b": {"x": 2}}'
+    assert _cut(good, 4) and _cut(good + "\n", 4)
+    for bad in [good[:k] for k in range(1, len(good))] + ["[" + good + "]", good.replace("2}", "2},"), good.replace("1}", "1},,"), good.replace("2", "")]:
+        assert _cut(bad, 4) == [], bad
+
+
+def test_no_row_holds_a_large_dump(spark, tmp_path):
+    text = json.dumps({f"f{k}": {"k": k, "code": "x{}" * 20} for k in range(30000)})
+    (tmp_path / "d.json").write_text(text)
+    docs = files.objects(spark, str(tmp_path))
+    sizes = [r[0] for r in docs.selectExpr("length(value)").collect()]
+    assert len(text) > 2_000_000 and max(sizes) < 600_000
+    got = files.records(docs, "struct<k:int>").select("pos", "key", "k").toPandas().sort_values("pos")
+    assert got["pos"].tolist() == got["k"].tolist() == list(range(30000))
+
+
+@pytest.mark.parametrize("name", ["function_dump"])
+def test_dumps_are_read_once_and_not_whole(spark, name):
+    plan = _planned(QUERIES[name](spark, SF))
+    assert plan.count("FileScan text") == 1 and "MapInArrow" in plan
