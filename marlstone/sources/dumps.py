@@ -23,8 +23,9 @@ def variables(dumped: DataFrame, base: Column | None = None) -> DataFrame:
     """(place, func_name, kind, name, type, is_enum, is_struct, is_union, register, count): a row per variable and argument.
     ``base``: what a typedef stands for, as a Column of ``type``."""
     keys = [c for c in PLACE if c in dumped.columns] + ["func_name"]
-    side = lambda c, kind: dumped.select(*keys, F.lit(kind).alias("kind"), F.explode(c).alias("name", "v"))
-    x = side("variable_metadata", "local").unionByName(side("args_metadata", "argument"))
+    # Both maps of a row at once: the dumps are read a single time.
+    sides = F.explode(F.array(F.struct(F.lit("local").alias("kind"), F.col("variable_metadata").alias("of")), F.struct(F.lit("argument").alias("kind"), F.col("args_metadata").alias("of"))))
+    x = dumped.select(*keys, sides.alias("s")).select(*keys, "s.kind", F.explode("s.of").alias("name", "v"))
     x = x.select(*keys, "kind", "name", F.col("v.type").alias("type"), F.col("v.agg.*"), "v.register", "v.count")
     return x.withColumn("type", ingest.type_label(F.col("type"), F.lit(None).cast("string") if base is None else base))
 

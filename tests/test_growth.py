@@ -108,7 +108,7 @@ def test_no_row_holds_a_large_dump(spark, tmp_path):
     assert got["pos"].tolist() == got["k"].tolist() == list(range(30000))
 
 
-@pytest.mark.parametrize("name", ["function_dump"])
+@pytest.mark.parametrize("name", ["function_dump", "variable_dump"])
 def test_dumps_are_read_once_and_not_whole(spark, name):
     plan = _planned(QUERIES[name](spark, SF))
     assert plan.count("FileScan text") == 1 and "MapInArrow" in plan
