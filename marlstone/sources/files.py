@@ -158,7 +158,7 @@ def objects(spark: SparkSession, paths: str | list[str], pattern: str = "*.json"
     """(path, first, value): files that are one JSON object of keyed records, each as objects of half a million characters
     or so, and the place of their first record, for ``records``. A malformed file gives no rows.
 
-    No task holds more of a file than a block and a record, however large the file and however its JSON is laid out: it is
+    No task holds more of a file than a block, an object and a record, however large the file and however its JSON is laid out: it is
     read in pieces that end with a brace, in parallel, and cut in one pass by one task.
     """
     there = _existing(spark, [paths] if isinstance(paths, str) else paths)
