@@ -63,8 +63,10 @@ def inline(functions: DataFrame, keys: list[str], name: str, code: str, neighbou
     Names in ``skip`` and unknown names fall out; a list of which nothing is found stays as names (unless replace_always).
     A row stands for a function of a binary (keys, name); the order of the list is kept.
 
-    The code of all functions is never broadcast: its size is guessed from files, which say little of it, and it would pass
-    through the driver. The merge sort of both sides spills, and adaptive execution splits names that many functions call.
+    Code is never broadcast, neither that of all functions nor the lists found: the size of the first is guessed from files,
+    which say little of it, and both would pass through the driver, the lists at run time, when adaptive execution finds them
+    under the session's threshold. The merge sort of both sides spills, and adaptive execution splits names that many
+    functions call.
     """
     target = functions.select(*keys, F.col(name).alias("_n"), F.struct(F.lit("code").alias("kind"), F.col(label).alias("name"), F.col(code).alias("text")).alias("_hit"))
     asked = functions.select(*keys, name, F.posexplode(neighbours).alias("_pos", "_n"))
@@ -74,4 +76,4 @@ def inline(functions: DataFrame, keys: list[str], name: str, code: str, neighbou
     found = F.transform("_hits", lambda h: h["_hit"])
     plain = F.transform(F.col(neighbours), lambda n: F.struct(F.lit("name").alias("kind"), n.alias("name"), F.lit(None).cast("string").alias("text")))
     none = F.array().cast("array<struct<kind:string,name:string,text:string>>")
-    return functions.join(hits, [*keys, name], "left").withColumn(neighbours, F.coalesce(found, none if replace_always else plain, none)).drop("_hits")
+    return functions.join(hits.hint("merge"), [*keys, name], "left").withColumn(neighbours, F.coalesce(found, none if replace_always else plain, none)).drop("_hits")

@@ -22,6 +22,15 @@ def test_code_of_neighbours_is_not_broadcast(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["first_n_neighbors", "neighbor_inline"])
+def test_lists_of_neighbours_are_not_broadcast_at_run_time(spark, name):
+    """Adaptive execution may choose a join anew, so the plan is looked at as it ran."""
+    df = QUERIES[name](spark, SF)
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_files_of_parts_follow_rows_not_parts(spark, tmp_path):
     rows = spark.range(3000, numPartitions=3).selectExpr("id div 10 as part", "id % 7 as key", "id as value")
     path = str(tmp_path / "parts")
